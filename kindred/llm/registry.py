@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from kindred.llm.jaccard_join import op9_jaccard_join
 from kindred.llm.substring_dedup import op10_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op10_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op9_jaccard_join, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
