@@ -1,0 +1,103 @@
+"""Bloom filters of hashes seen once, seen again, and seen often, built by regions of the hash space.
+
+Tasks send each hash of their batch once, with its count, packed by region; a region's filters are built as these
+stream by, in memory that the filter's size bounds. Only the finished filters, of at most MOST_BITS each, are gathered
+and broadcast. A filter never misses a hash; it takes some for seen that are not.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+REGIONS, PROBES = 256, 4
+#: The most bits of one filter: 128 MB.
+MOST_BITS = 1 << 30
+SCHEMA = "region int, h binary, n binary"
+
+
+def bits_for(count: float, each: int) -> int:
+    """As many bits for each hash, in whole bytes for each region."""
+    return min(MOST_BITS, max(1, -(-int(count * each) // (1 << 16))) * (1 << 16))
+
+
+def _cells(h: np.ndarray, bits: int):
+    """A hash's places in its filter, one array for each probe; the lowest 16 bits of the hash play no part."""
+    h = h >> np.uint64(16)
+    span = np.uint64(bits // REGIONS)
+    base = (h >> np.uint64(40)) * span
+    step = (h >> np.uint64(20)) | np.uint64(1)
+    for i in range(PROBES):
+        yield base + ((h & np.uint64(0xFFFFFFFFFF)) + step * np.uint64(i)) % span
+
+
+def has(filter_: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    out = np.arange(len(h))
+    for _, cell in zip(range(PROBES), _cells(h, bits), strict=True):
+        cell = cell[out]
+        out = out[(filter_[cell >> np.uint64(3)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8)) & 1 == 1]
+    got = np.zeros(len(h), bool)
+    got[out] = True
+    return got
+
+
+def packed(h: np.ndarray) -> pa.RecordBatch:
+    """Rows of SCHEMA for a batch's hashes."""
+    h, n = np.unique(h >> np.uint64(16), return_counts=True)
+    cuts = np.searchsorted(h, np.arange(REGIONS + 1, dtype=np.uint64) << np.uint64(40))
+    at = np.flatnonzero(np.diff(cuts))
+    planes = h.view(np.uint16).reshape(-1, 4)
+    n = np.minimum(n, 255).astype(np.uint8)
+    parts = [slice(cuts[i], cuts[i + 1]) for i in at]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(at.astype(np.int32)), pa.array([np.ascontiguousarray(planes[p, :3].T).tobytes() for p in parts], pa.binary()), pa.array([n[p].tobytes() for p in parts], pa.binary())],
+        ["region", "h", "n"],
+    )
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    low = np.frombuffer(b, np.uint16).reshape(3, -1).astype(np.uint64)
+    return (low[0] | low[1] << np.uint64(16) | low[2] << np.uint64(32)) << np.uint64(16)
+
+
+def _builder(bits: int, often: int):
+    size = bits // REGIONS
+
+    def run(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for r, h, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                new = r not in held
+                once, twice, many, counts = held.setdefault(r, [np.zeros(size, bool), np.zeros(size, bool), np.zeros(size if often else 0, bool), np.zeros(size if often else 0, np.uint16)])
+                x = _unpacked(h) | np.uint64(r) << np.uint64(56)
+                n = np.frombuffer(n, np.uint8)
+                cells = [c.astype(np.int64) - r * size for c in _cells(x, bits)]
+                old = n > 1
+                if not new:
+                    old = old | np.logical_and.reduce([once[c] for c in cells])
+                for c in cells:
+                    once[c] = True
+                    twice[c[old]] = True
+                if often:
+                    rise = cells[0][old], cells[1][old]
+                    for c in rise:
+                        counts[c] = np.minimum(counts[c].astype(np.int64) + n[old], 60_000)
+                    at = np.minimum(*(counts[c] for c in rise)) >= often
+                    for c in cells:
+                        many[c[old][at]] = True
+        for r, (once, twice, many, _) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *(pa.array([np.packbits(x).tobytes()]) for x in (once, twice, many))], ["region", "once", "twice", "many"])
+
+    return run
+
+
+def build(rows: DataFrame, bits: int, once: bool = False, often: int = 0) -> list[bytes]:
+    """The filters asked for, of: seen at all (once), seen again, seen about `often` times or more."""
+    wanted = ["once"] * once + ["twice"] + ["many"] * bool(often)
+    out, size = [bytearray(bits // 8) for _ in wanted], bits // 8 // REGIONS
+    built = rows.repartition("region").mapInArrow(_builder(bits, often), "region int, once binary, twice binary, many binary")
+    for r in built.select("region", *wanted).toLocalIterator():
+        for whole, name in zip(out, wanted, strict=True):
+            whole[r.region * size : (r.region + 1) * size] = r[name]
+    return [bytes(x) for x in out]

@@ -8,7 +8,7 @@ one aligned block of window // 2 words, whatever its phase, so:
 2. probe: every rolling window of block length is looked up. A position hits if its block is indexed, or for a
    document's own aligned position if it is indexed twice. Both places of a repeat hit, since each one's aligned blocks
    are probed by the other;
-3. extend: windows that hold a hit are candidates. Their 128-bit hashes are grouped to find the first place of each, so
+3. extend: windows that hold a hit are candidates. Their 96-bit hashes are grouped to find the first place of each, so
    that adjacent repeated windows cover exactly the maximal repeat. False hits of the filters end here.
 
 Cases: null and empty texts have no words; a text shorter than a window loses nothing. Rows with a null doc_id are not
@@ -26,21 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.words import SPACED, buffers, longs, sliced
+from kindred.llm.filters import SCHEMA, bits_for, build, has, packed
+from kindred.llm.words import SPACED, buffers, sliced
 
-REGIONS = 256
-PROBES = 4
-#: Bits of a filter for each block, and the most bits of one filter: 128 MB, beyond which more windows are candidates.
-BITS_EACH, MOST_BITS = 16, 1 << 30
-
-
-def _cells(h: np.ndarray, bits: int):
-    """The places of a hash in its region of a filter with that many bits, one array for each probe."""
-    span = np.uint64(bits // REGIONS)
-    base = (h >> np.uint64(56)) * span
-    step = (h >> np.uint64(28)) | np.uint64(1)
-    for i in range(PROBES):
-        yield base + ((h & np.uint64(0xFFFFFFFFFFFFFF)) + step * np.uint64(i)) % span
+#: Bits of a filter for each block.
+BITS_EACH = 16
 
 
 def _blocks_of(block: int):
@@ -51,67 +41,26 @@ def _blocks_of(block: int):
                 h, ok = w.grams(block), w.inside(block)
                 at = np.arange(len(h)) - w.first[w.row_of()[: len(h)]]
                 found.append(h[ok & (at % block == 0)])
-            h, n = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((h >> np.uint64(56)).astype(np.int32)), longs(h), pa.array(n > 1)], ["region", "h", "again"]
-            )
+            yield packed(np.concatenate(found or [np.zeros(0, np.uint64)]))
 
     return run
 
 
-def _filters_of(bits: int):
-    """A region's filters, built as its blocks stream by; a block already in the first filter goes to the second."""
-    size = bits // REGIONS
-
-    def run(batches):
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            every = batch.column(1).to_numpy().view(np.uint64)
-            h, where, to, counts = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
-            again = np.bincount(to, weights=batch.column(2).to_numpy(zero_copy_only=False), minlength=len(h)) > 0
-            region = batch.column(0).to_numpy()[where]
-            for r in np.unique(region):
-                one, two = held.setdefault(int(r), (np.zeros(size, bool), np.zeros(size, bool)))
-                mine = region == r
-                x, old = h[mine], np.ones(int(mine.sum()), bool)
-                cells = [c.astype(np.int64) - int(r) * size for c in _cells(x, bits)]
-                for c in cells:
-                    old &= one[c]
-                old |= again[mine] | (counts[mine] > 1)
-                for c in cells:
-                    one[c] = True
-                    two[c[old]] = True
-        for r, (one, two) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([np.packbits(one).tobytes()]), pa.array([np.packbits(two).tobytes()])], ["region", "once", "twice"])
-
-    return run
-
-
-def _has(filter_: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    out = np.arange(len(h))
-    for c in zip(range(PROBES), _cells(h, bits), strict=True):
-        cell = c[1][out]
-        out = out[(filter_[cell >> np.uint64(3)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8)) & 1 == 1]
-    got = np.zeros(len(h), bool)
-    got[out] = True
-    return got
-
-
 def _candidates(w, block: int, window: int, bits: int, once: np.ndarray, twice: np.ndarray) -> np.ndarray:
     """Word positions at which a window starts that may also start elsewhere."""
     h = w.grams(block)
     if len(w.hash) < window:
         return np.zeros(0, np.int64)
     at = np.arange(len(h)) - w.first[w.row_of()[: len(h)]]
-    hit = _has(once, h, bits) & w.inside(block)
+    hit = has(once, h, bits) & w.inside(block)
     own = np.flatnonzero(hit & (at % block == 0))
-    hit[own] = _has(twice, h[own], bits)
+    hit[own] = has(twice, h[own], bits)
     before = np.concatenate([[0], np.cumsum(hit)])
     n = len(w.hash) - window + 1
     return np.flatnonzero((before[block : block + n] > before[:n]) & w.inside(window))
 
 
-def _windows_of(block: int, window: int, bits: int, filters):
+def _windows_of(block: int, window: int, bits: int, parts: int, filters):
     def run(batches):
         once, twice = (np.frombuffer(x, np.uint8) for x in filters.value)
         for batch in batches:
@@ -122,35 +71,93 @@ def _windows_of(block: int, window: int, bits: int, filters):
                 at = _candidates(w, block, window, bits, once, twice)
                 row = w.row_of()[at]
                 at, row = at[known[lo + row]], row[known[lo + row]]
-                for x, y in zip(got, (w.grams(window, 0)[at], w.grams(window, 1)[at], ids[lo + row], at - w.first[row]), strict=True):
+                hashes = w.grams(window, 0)[at], (w.grams(window, 1)[at] >> np.uint64(32)).astype(np.uint32)
+                for x, y in zip(got, (*hashes, ids[lo + row], at - w.first[row]), strict=True):
                     x.append(y)
             if not got[0]:
                 continue
             h1, h2, doc, pos = map(np.concatenate, got)
-            order = np.lexsort((pos, doc, h2, h1))  # of each window, this batch's first place is enough
-            h1, h2, doc, pos = (x[order] for x in (h1, h2, doc, pos))
-            new = np.ones(len(h1), bool)
-            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            for part in np.array_split(np.flatnonzero(new), max(1, len(h1) // 100_000)):
-                yield pa.RecordBatch.from_arrays(
-                    [longs(h1[part]), longs(h2[part]), pa.array(doc[part]), pa.array(pos[part].astype(np.int32))],
-                    ["h1", "h2", "doc_id", "pos"],
-                )
+            order, new = _first_places(h1, h2, doc, pos)  # of each window, this batch's first place is enough
+            keep = order[new]
+            h1, h2, doc, pos = (x[keep] for x in (h1, h2, doc, pos))
+            part = (h1 >> np.uint64(32)).astype(np.int64) % parts
+            order = np.lexsort((pos, doc, part))
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            out = []
+            for i in np.flatnonzero(np.diff(cuts)):
+                x = order[cuts[i] : cuts[i + 1]]
+                out.append((i, h1[x].tobytes(), h2[x].tobytes(), *_packed(doc[x], pos[x])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)] if out else [pa.array([], t) for t in [pa.int32(), *[pa.binary()] * 5]], ["part", "h1", "h2", "docs", "counts", "pos"])
 
     return run
 
 
-def _kept_of(block: int, window: int, bits: int, filters, columns: int, digest: bool):
-    """Batches of the input's columns, doc_id, text and the packed first places; adds n_words, n_removed and the rest."""
+_PLACES = "part int, h1 binary, h2 binary, docs binary, counts binary, pos binary"
+
+
+def _first_places(h1, h2, doc, pos) -> tuple[np.ndarray, np.ndarray]:
+    """An order by window and place, and where in it a window's first place is."""
+    order = np.lexsort((pos, doc, h2, h1))
+    a, b = h1[order], h2[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, new
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The 16-bit parts of all values, lowest parts first, so that empty high parts compress to nothing."""
+    return np.ascontiguousarray(x.view(np.uint16).reshape(len(x), -1).T).tobytes()
+
+
+def _unplaned(b: bytes, kind) -> np.ndarray:
+    n = np.dtype(kind).itemsize // 2
+    return np.ascontiguousarray(np.frombuffer(b, np.uint16).reshape(n, -1).T).view(kind).ravel()
+
+
+def _packed(doc: np.ndarray, pos: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Places sorted by document: the documents, the number of places of each, and the positions."""
+    at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    return _planes(doc[at]), _planes(np.diff(np.append(at, len(doc))).astype(np.uint32)), _planes(pos.astype(np.uint32))
+
+
+def _firsts(batches):
+    """The first place of each window, as positions by document; rows come sorted by part."""
+    held, now = [], None
+
+    def flush():
+        h1, h2 = (np.concatenate([np.frombuffer(r[i], t) for r in held]) for i, t in ((1, np.uint64), (2, np.uint32)))
+        doc = np.concatenate([np.repeat(_unplaned(r[3], np.int64), _unplaned(r[4], np.uint32)) for r in held])
+        pos = np.concatenate([_unplaned(r[5], np.uint32) for r in held])
+        order, new = _first_places(h1, h2, doc, pos)
+        keep = order[new]
+        keep = keep[np.lexsort((pos[keep], doc[keep]))]
+        doc, pos = doc[keep], pos[keep].astype(np.int32)
+        at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        lists = [x.tobytes() for x in np.split(pos, at[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(lists, pa.binary())], ["_id", "pos"])
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != now and held:
+                yield flush()
+                held = []
+            now = row[0]
+            held.append(row)
+    if held:
+        yield flush()
+
+
+def _kept_of(block: int, window: int, bits: int, filters, columns: int, text_at: int, digest: bool):
+    """Batches of the input's columns, doc_id and the packed first places; adds n_words, n_removed and the rest."""
 
     def run(batches):
         once, twice = (np.frombuffer(x, np.uint8) for x in filters.value)
         for batch in batches:
-            ids, firsts = batch.column(columns), batch.column(columns + 2)
-            data, bounds = buffers(batch.column(columns + 1))
+            ids, firsts = batch.column(columns), batch.column(columns + 1)
+            data, bounds = buffers(batch.column(text_at))
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             n_words, n_removed, kept = [], [], []
-            for lo, hi, w in sliced(batch.column(columns + 1), SPACED, False):
+            for lo, hi, w in sliced(batch.column(text_at), SPACED, False):
                 at = _candidates(w, block, window, bits, once, twice)
                 row = w.row_of()[at]
                 late = np.ones(len(at), bool)
@@ -158,7 +165,7 @@ def _kept_of(block: int, window: int, bits: int, filters, columns: int, digest:
                 for r in range(hi - lo):
                     a, b = edges[r], edges[r + 1]
                     if a < b:
-                        first = np.frombuffer(firsts[lo + r].as_py() or b"", np.int32)
+                        first = np.frombuffer(b"".join(firsts[lo + r].as_py() or ()), np.int32)
                         late[a:b] = ~np.isin(at[a:b] - w.first[r], first) & known[lo + r]
                 covered = np.zeros(len(w.hash) + 1, np.int64)
                 np.add.at(covered, at[late], 1)
@@ -190,40 +197,21 @@ def substring_dedup(docs: DataFrame, window: int = 20, digest: bool = False) ->
         raise ValueError("window must be 2 at least")
     spark, block = docs.sparkSession, window // 2
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = 1 << 16
-    while bits < min(MOST_BITS, size / 5 / block * BITS_EACH):
-        bits *= 2
-    index = docs.select("text").mapInArrow(_blocks_of(block), "region int, h long, again boolean")
-    once, twice = bytearray(bits // 8), bytearray(bits // 8)
-    dealt = index.repartition("region").mapInArrow(_filters_of(bits), "region int, once binary, twice binary")
-    for r in dealt.toLocalIterator():
-        for whole, part in ((once, r.once), (twice, r.twice)):
-            whole[r.region * bits // 8 // REGIONS : (r.region + 1) * bits // 8 // REGIONS] = part
-    filters = spark.sparkContext.broadcast((bytes(once), bytes(twice)))
-    del once, twice
-
-    slim = docs.select(F.col("doc_id").cast("long"), "text")
-    windows = slim.mapInArrow(_windows_of(block, window, bits, filters), "h1 long, h2 long, doc_id long, pos int")
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("_id"), F.min_by("pos", "doc_id").alias("pos"))
-    packed = first.groupBy("_id").agg(F.collect_list("pos").alias("pos"))
-    packed = packed.select("_id", F.unhex(F.array_join(F.transform("pos", _little), "")).alias("_first"))
+    bits = bits_for(size / 5 / block, BITS_EACH)
+    filters = spark.sparkContext.broadcast(build(docs.select("text").mapInArrow(_blocks_of(block), SCHEMA), bits, once=True))
+    slim, parts = docs.select(F.col("doc_id").cast("long"), "text"), max(64, size >> 24)
+    places = slim.mapInArrow(_windows_of(block, window, bits, parts, filters), _PLACES)
+    first = places.repartition("part").sortWithinPartitions("part").mapInArrow(_firsts, "_id long, pos binary")
+    by_doc = first.groupBy("_id").agg(F.collect_list("pos").alias("_first"))
 
     n = len(docs.columns)
     plain = docs.toDF(*(f"c{i}" for i in range(n)))
-    named = dict(zip(docs.columns, plain.columns, strict=True))
-    ready = plain.withColumns({"_id": F.col(named["doc_id"]).cast("long"), "_text": F.col(named["text"])})
-    joined = ready.join(packed, "_id", "left").select(*plain.columns, "_id", "_text", "_first")
+    joined = plain.withColumn("_id", F.col(f"c{docs.columns.index('doc_id')}").cast("long")).join(by_doc, "_id", "left").select(*plain.columns, "_id", "_first")
     fields = ", ".join(f"{c} {plain.schema[c].dataType.simpleString()}" for c in plain.columns)
-    out = joined.mapInArrow(_kept_of(block, window, bits, filters, n, digest), f"{fields}, n_words long, n_removed long, kept string")
+    out = joined.mapInArrow(_kept_of(block, window, bits, filters, n, docs.columns.index("text"), digest), f"{fields}, n_words long, n_removed long, kept string")
     return out.toDF(*docs.columns, "_n_words", "_n_removed", "_kept")
 
 
-def _little(x):
-    """Eight hex digits of an int, lowest byte first."""
-    h = F.lpad(F.hex(x.cast("long")), 8, "0")
-    return F.concat(*(F.substring(h, i, 2) for i in (7, 5, 3, 1)))
-
-
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = substring_dedup(docs, 20, digest=True)
