@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from kindred.llm.bpe import op8_bpe
 from kindred.llm.jaccard_join import op9_jaccard_join
 from kindred.llm.substring_dedup import op10_substring_dedup
+from kindred.llm.token_files import op4_token_files
 
-QUERIES = {f.__name__: f for f in (op9_jaccard_join, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op4_token_files, op8_bpe, op9_jaccard_join, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
