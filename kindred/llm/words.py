@@ -66,7 +66,7 @@ class Words:
         begins[cut] = ends[cut] = True
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends)
         self.first = np.searchsorted(self.start, bounds)
-        self.rows = rows
+        self.rows, self.at = rows, bounds
         _pow, _inv = _table(_pow, _BASE, n + 1), _table(_inv, _BASE_INV, n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[data] * _pow[:n], out=total[1:])
