@@ -5,8 +5,9 @@ from __future__ import annotations
 from kindred.llm.bpe import op8_bpe
 from kindred.llm.decontaminate import op7_decontaminate
 from kindred.llm.jaccard_join import op9_jaccard_join
+from kindred.llm.quality_rules import OP3_SQL, op3_quality_rules
 from kindred.llm.substring_dedup import op10_substring_dedup
 from kindred.llm.token_files import op4_token_files
 
-QUERIES = {f.__name__: f for f in (op4_token_files, op7_decontaminate, op8_bpe, op9_jaccard_join, op10_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_token_files, op7_decontaminate, op8_bpe, op9_jaccard_join, op10_substring_dedup)}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL}
