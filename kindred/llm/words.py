@@ -70,8 +70,14 @@ class Words:
         _pow, _inv = _table(_pow, _BASE, n + 1), _table(_inv, _BASE_INV, n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[data] * _pow[:n], out=total[1:])
+        self._total = total
         self.hash = mix((total[self.end] - total[self.start]) * _inv[self.start])
 
+    def beginnings(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of the first k bytes of some words, apart from those of whole words and of other lengths."""
+        start = self.start[at]
+        return mix((self._total[start + k] - self._total[start]) * _inv[start] + np.uint64(k))
+
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), np.diff(self.first))
 
