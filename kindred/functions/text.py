@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Modulus of the MinHash permutations; products of two values below it stay within a long.
 PRIME = 2**31 - 1
 
 
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row. A plain one would be put in place of its name where that is used,
+    and inside a lambda be computed again for each element."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[ \\t\\n\\r]+"), lambda t: t != "")
 
@@ -44,13 +50,6 @@ def factors(k: int) -> tuple[list[int], list[int]]:
     return [(i * 1103515245 + 12345) % PRIME + 1 for i in range(k)], [(i * 69069 * 69069 + 362437) % PRIME for i in range(k)]
 
 
-def minhash(sh: Column, k: int) -> Column:
-    """k minima of permuted shingles. sh must not be empty."""
-    a, b = factors(k)
-    pairs = F.arrays_zip(F.array(*map(F.lit, a)).alias("a"), F.array(*map(F.lit, b)).alias("b"))
-    return F.transform(pairs, lambda p: F.array_min(F.transform(sh, lambda s: (p["a"].cast("long") * (s % PRIME) + p["b"]) % PRIME)))
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of distinct values; 0 if either is empty."""
     both = F.size(F.array_intersect(a, b))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,12 +52,36 @@ def unmatched(units: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def with_shingles(units: DataFrame, cfg: Config) -> DataFrame:
-    return units.withColumn("shingles", T.shingles(F.col("tokens"), cfg.shingle_size)).where(F.size("shingles") > 0)
+    return T.held(units, "shingles", T.shingles(F.col("tokens"), cfg.shingle_size)).where(F.size("shingles") > 0)
+
+
+def _signed_of(k: int, at: int):
+    a, b = (np.array(x, np.int64) for x in T.factors(k))
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                lists = part.column(at)
+                bounds = lists.offsets.to_numpy()
+                s = lists.values.to_numpy()[bounds[0] : bounds[-1]] % T.PRIME
+                sig = np.stack([np.minimum.reduceat((x * s + y) % T.PRIME, bounds[:-1] - bounds[0]) for x, y in zip(a, b, strict=True)], 1)
+                flat = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * k, sig.ravel())
+                yield pa.RecordBatch.from_arrays([*part.columns, flat], [*batch.schema.names, "sig"])
+
+    return run
+
+
+def signatures(shingled: DataFrame, k: int) -> DataFrame:
+    """Adds sig: k minima of permuted shingles, which must not be empty. In numpy: as a lambda in a lambda, the JVM takes
+    some hundred times as long for each step."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shingled.schema)
+    return shingled.mapInArrow(_signed_of(k, shingled.columns.index("shingles")), f"{fields}, sig array<bigint>")
 
 
 def bands(shingled: DataFrame, cfg: Config) -> DataFrame:
     """(unit_idx, file, func_name, start_line, end_line, band, bucket)."""
-    signed = shingled.withColumn("sig", T.minhash(F.col("shingles"), cfg.hashes))
+    signed = signatures(shingled.select("unit_idx", "file", "func_name", "start_line", "end_line", "shingles"), cfg.hashes)
     each = F.transform(F.sequence(F.lit(0), F.lit(cfg.bands - 1)), lambda b: F.struct(b.alias("band"), F.array_join(F.slice("sig", b * cfg.rows + 1, cfg.rows), ",").alias("bucket")))
     return signed.select("unit_idx", "file", "func_name", "start_line", "end_line", F.explode(each).alias("x")).select("*", "x.band", "x.bucket").drop("x")
 
