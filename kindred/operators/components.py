@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.plans.storage import Scratch
 
+#: Edges that one task joins in memory; more are joined in distributed rounds. The result is the same.
+FEW = 1 << 18
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+
+def _joined(batches):
+    up: dict[int, int] = {}
+
+    def find(x):
+        while (p := up.setdefault(x, x)) != x:
+            up[x] = x = up[p]
+        return x
+
+    for batch in batches:
+        for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            u, v = find(u), find(v)
+            if u != v:
+                up[max(u, v)] = min(u, v)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "component"])
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, few: int = FEW) -> DataFrame:
     """One row (node, component) for each node that an edge names; component is the smallest node reachable.
 
     Each round is two aggregations joined back on their key, so a node with very many edges is split by adaptive
@@ -20,6 +41,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     scratch = Scratch(spark, "components")
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     base = scratch.write(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    if base.count() <= few:
+        return base.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(_joined, "node long, component long")
     nodes = base.select(F.col("u").alias("node")).union(base.select("v")).distinct()
     now, last = base.where("u <> v"), None
     held = []
