@@ -4,12 +4,14 @@ A document's set is its distinct k-word shingles, lower-cased in A to Z; with fe
 is its one shingle. Two documents link when den * |intersection| >= num * |union|.
 
 1. Equal sets are one node, named by the smallest doc_id: copies are never expanded into pairs.
-2. Shingles get one global order, by document frequency (from a counting sketch of fixed size over all documents; any
-   fixed order is correct, a good one is fast) and hash. Linked sets share one of the rarest n - ceil(n * num / den) + 1
-   shingles of either. The holders of such a shingle, sorted by set size, are chained to their neighbours unless the
-   sizes alone rule out a link, which takes rows in proportion to the holders. Components of the chains hold all links.
+2. Shingles get one global order: those of a fixed share of the hash space first, of these the ones of one document
+   only, then those of few, then of many (told by filters over all documents, see filters.py), then by hash. Any fixed
+   order is correct, a good one is fast. Linked sets share one of the first n - ceil(n * num / den) + 1 shingles of
+   either; those that no other document has need not be looked up. The holders of a shingle, sorted by set size, are
+   chained to their neighbours unless the sizes alone rule out a link, which takes rows in proportion to the holders.
+   Components of the chains hold all links.
 3. Each component's sets are dealt into blocks of bounded size. A block's sets go into a radix tree in the global
-   order, most frequent first, so that similar sets share paths. Each set walks the tree with the overlap so far, which
+   order from its end, most frequent first, so that similar sets share paths. Each set walks the tree with the overlap so far, which
    the sets below a node share, and leaves a subtree that can't reach the needed overlap with the lengths that remain.
 4. Blocks of one component are then joined with each other, but for pairs that sizes rule out or whose sets are all
    linked already. So a large group of near copies, linked within its blocks, needs few or no further joins.
@@ -23,19 +25,19 @@ An empty table gives an empty result. Columns other than doc_id and text are not
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.llm.filters import SCHEMA, bits_for, build, has, packed
 from kindred.llm.words import SPACED, longs, mix, poly, sliced
 from kindred.operators.components import connected_components
 from kindred.plans.storage import Scratch
 
-#: Cells of the counting sketch, and parts in which tasks send theirs.
-CELLS, PARTS = 1 << 20, 64
+#: A shingle is frequent from about so many documents on.
+OFTEN = 32
+BITS_EACH = 8
 #: Sets in a block of a component.
 BLOCK = 256
 #: Tokens of an edge that a walk compares between two looks at the bound.
@@ -70,53 +72,54 @@ def _nodes_of(k: int):
     return run
 
 
-def _cell(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(CELLS - 1)).astype(np.int64)
+class Order:
+    """The global order of shingles. share: of the hash space, whose shingles come first and are known to the filters."""
+
+    def __init__(self, share: float, bits: int, twice: bytes, many: bytes):
+        self.most, self.bits = np.uint64(int(min(share, 1) * (2**64 - 1))), bits
+        self.twice, self.many = np.frombuffer(twice, np.uint8), np.frombuffer(many, np.uint8)
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """0: of one document; 1: of some; 2: of many; 3: not known."""
+        out = np.full(len(h), 3, np.uint8)
+        known = np.flatnonzero(_low(h, self.most))
+        again = has(self.twice, h[known], self.bits)
+        out[known] = again
+        known = known[again]
+        out[known[has(self.many, h[known], self.bits)]] = 2
+        return out
+
 
+def _low(h: np.ndarray, most) -> np.ndarray:
+    return h * np.uint64(0x9E3779B97F4A7C15) <= most
+
+
+def _known_of(k: int, share: float):
+    most = np.uint64(int(min(share, 1) * (2**64 - 1)))
 
-def _counts_of(k: int):
     def run(batches):
-        total = np.zeros(CELLS, np.int64)
         for batch in batches:
-            held = []
-            for _, s in shingle_sets(batch.column(0), k):
-                held.append(s)
-                if len(held) == 256:
-                    total += np.bincount(_cell(np.concatenate(held)), minlength=CELLS)
-                    held = []
-            if held:
-                total += np.bincount(_cell(np.concatenate(held)), minlength=CELLS)
-        total = np.minimum(total, 2**32 - 1).astype(np.uint32).reshape(PARTS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total])], ["part", "counts"])
+            for lo in range(0, len(batch), 5000):
+                found = [s[_low(s, most)] for _, s in shingle_sets(batch.column(0).slice(lo, 5000), k)]
+                yield packed(np.concatenate(found or [np.zeros(0, np.uint64)]))
 
     return run
 
 
-def _summed(batches):
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.int64)
-            held[part] = held.get(part, 0) + x
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["part", "counts"])
-
-
-def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
-    """For each cell of the sketch a level from 0 (no more frequent than the mean cell) up, by powers of two."""
-    parts = docs.select("text").mapInArrow(_counts_of(k), "part int, counts binary").repartition("part")
-    counts = np.zeros((PARTS, CELLS // PARTS))
-    for r in parts.mapInArrow(_summed, "part int, counts binary").toLocalIterator():
-        counts[r.part] = np.frombuffer(r.counts, np.int64)
-    counts = counts.ravel()
-    return np.maximum(0, np.floor(np.log2(np.maximum(counts, 1) / (2 * counts.mean() + 8)))).astype(np.uint8)
+def global_order(docs: DataFrame, k: int, share: float) -> Order:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = bits_for(size / 5 * min(share, 1), BITS_EACH)
+    return Order(share, bits, *build(docs.select("text").mapInArrow(_known_of(k, share), SCHEMA), bits, often=OFTEN))
 
 
-def _ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The set in the global order, rarest first."""
-    return s[np.argsort(levels[_cell(s)], kind="stable")]
+def _ordered(s: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray]:
+    """The set in the global order, and its levels."""
+    levels = order.levels(s)
+    at = np.argsort(levels, kind="stable")
+    return s[at], levels[at]
 
 
-def _prefix_of(k: int, num: int, den: int, levels):
+def _prefix_of(k: int, num: int, den: int, order):
     def run(batches):
         for batch in batches:
             ids, seen, got = batch.column(0).to_pylist(), set(), [[], [], []]
@@ -129,9 +132,11 @@ def _prefix_of(k: int, num: int, den: int, levels):
                     continue
                 seen.add(key)
                 p = n - (n * num + den - 1) // den + 1
-                got[0].append(_ordered(s, levels.value)[:p])
-                got[1].append(np.full(p, n, np.int32))
-                got[2].append(np.full(p, ids[r], np.int64))
+                s, levels = (x[:p] for x in _ordered(s, order.value))
+                s = s[levels > 0]
+                got[0].append(s)
+                got[1].append(np.full(len(s), n, np.int32))
+                got[2].append(np.full(len(s), ids[r], np.int64))
                 if len(got[0]) == 1000:
                     yield _tokens(got)
                     got = [[], [], []]
@@ -166,19 +171,31 @@ def _chains_of(num: int, den: int):
     return run
 
 
-def _sets_of(k: int, levels):
-    """The sets of (comp, blk, rep, text), most frequent shingle first."""
+def _wanted_of(bits: int, wanted):
+    """Rows whose doc_id may be wanted, so that the join after moves few texts."""
 
     def run(batches):
+        filter_ = np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.slice(lo, 500)
-                sets = [_ordered(s, levels.value)[::-1].tobytes() for _, s in shingle_sets(part.column(3), k)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.binary())], ["comp", "blk", "rep", "tokens"])
+            ids = batch.column(0)
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(known & has(filter_, mix(ids.fill_null(0).to_numpy().view(np.uint64)), bits)))
 
     return run
 
 
+def _ids(batches):
+    for batch in batches:
+        yield packed(mix(batch.column(0).to_numpy().view(np.uint64)))
+
+
+def texts_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of docs whose doc_id is among ids (and of some more)."""
+    bits = bits_for(ids.count(), BITS_EACH)
+    wanted = docs.sparkSession.sparkContext.broadcast(build(ids.mapInArrow(_ids, SCHEMA), bits, once=True)[0])
+    return docs.mapInArrow(_wanted_of(bits, wanted), "doc_id long, text string")
+
+
 class _Node:
     __slots__ = ("edge", "children", "docs", "least", "most")
 
@@ -277,14 +294,15 @@ def join_block(sides: list[int], docs: list[int], roots: list[int], sets: list[n
 _KEYS = 3
 
 
-def _joined_of(num: int, den: int, levels):
-    """Rows (comp, i, j, side, rep, root, tokens) come sorted by comp, i and j."""
+def _joined_of(k: int, num: int, den: int, order):
+    """Rows (comp, i, j, side, rep, root, text) come sorted by comp, i and j."""
 
     def flush(rows):
         sets = []
-        for r in rows:
-            h = np.frombuffer(r[6], np.uint64)
-            sets.append(np.stack([np.uint64(255) - levels.value[_cell(h)].astype(np.uint64), ~h], 1).copy().view([("level", np.uint64), ("h", np.uint64)]).ravel())
+        for _, s in shingle_sets(pa.array([r[6] for r in rows], pa.string()), k):
+            # numbers that rise in the global order from its end: the level, then the hash, both falling
+            key = (np.uint64(3) - order.value.levels(s).astype(np.uint64)) << np.uint64(62) | ~s >> np.uint64(2)
+            sets.append(np.unique(key))
         return join_block([r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows], sets, num, den)
 
     def run(batches):
@@ -319,9 +337,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     all_nodes = scratch.write(slim.mapInArrow(_nodes_of(k), "doc_id long, n int, f1 long, f2 long"), "nodes")
     reps = all_nodes.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     named = scratch.write(all_nodes.join(reps.drop("n"), ["f1", "f2"], "left").select("doc_id", "n", "rep"), "named")
-    levels = spark.sparkContext.broadcast(frequency_levels(slim, k))
+    order = spark.sparkContext.broadcast(global_order(slim, k, 2 * (den - num) / den + 0.02))
 
-    tokens = slim.mapInArrow(_prefix_of(k, num, den, levels), "h long, n int, doc_id long")
+    tokens = slim.mapInArrow(_prefix_of(k, num, den, order), "h long, n int, doc_id long")
     chains = tokens.repartition("h").sortWithinPartitions("h", "n", "doc_id").mapInArrow(_chains_of(num, den), "a long, b long").distinct()
     to_rep = named.where("rep is not null").select("doc_id", "rep").distinct()
     edges = chains.join(to_rep.toDF("a", "ra"), "a").join(to_rep.toDF("b", "rb"), "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
@@ -331,14 +349,14 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     by_size = Window.partitionBy("comp").orderBy("n", "rep")
     dealt = coarse.withColumnRenamed("node", "rep").join(sizes, "rep").withColumn("blk", F.floor((F.row_number().over(by_size) - 1) / BLOCK).cast("int"))
     dealt = scratch.write(dealt.select("comp", "blk", "rep", "n"), "blocks")
-    texts = slim.join(dealt.select("comp", "blk", F.col("rep").alias("doc_id")), "doc_id").select("comp", "blk", "doc_id", "text")
-    sets = scratch.write(texts.mapInArrow(_sets_of(k, levels), "comp long, blk int, rep long, tokens binary"), "sets")
+    few = texts_among(slim, dealt.select("rep"))
+    sets = scratch.write(few.join(dealt.select("comp", "blk", F.col("rep").alias("doc_id")), "doc_id").select("comp", "blk", F.col("doc_id").alias("rep"), "text"), "texts")
 
     def joined(rows):
         rows = rows.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "side")
-        return rows.mapInArrow(_joined_of(num, den, levels), "a long, b long")
+        return rows.mapInArrow(_joined_of(k, num, den, order), "a long, b long")
 
-    within = joined(sets.select("comp", F.col("blk").alias("i"), F.col("blk").alias("j"), F.lit(0).alias("side"), "rep", F.col("rep").alias("root"), "tokens"))
+    within = joined(sets.select("comp", F.col("blk").alias("i"), F.col("blk").alias("j"), F.lit(0).alias("side"), "rep", F.col("rep").alias("root"), "text"))
     links = scratch.write(within, "links")
     found = scratch.write(connected_components(links), "found")
 
@@ -351,7 +369,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         pairs = left.join(right, F.expr(f"x.comp = y.comp and x.blk < y.blk and x.most * {den}L >= y.least * {num}L") & apart)
         pairs = scratch.write(pairs.select("x.comp", F.col("x.blk").alias("i"), F.col("y.blk").alias("j")), "pairs")
         rooted = sets.join(many.select("rep", "root").distinct(), "rep")
-        sides = [rooted.join(pairs.withColumn("blk", F.col(c)), ["comp", "blk"]).select("comp", "i", "j", F.lit(s).alias("side"), "rep", "root", "tokens") for s, c in enumerate(("i", "j"))]
+        sides = [rooted.join(pairs.withColumn("blk", F.col(c)), ["comp", "blk"]).select("comp", "i", "j", F.lit(s).alias("side"), "rep", "root", "text") for s, c in enumerate(("i", "j"))]
         links = links.union(scratch.write(joined(sides[0].union(sides[1])), "across"))
         found = scratch.write(connected_components(links), "found")
     scratch.drop(sets)
