@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from kindred.plans.storage import Scratch
 
 BUCKET_BYTES = 8 << 20
+#: Buckets whose first slots are broadcast (20 bytes each); with more, rows are joined by bucket.
+FEW_BUCKETS = 200_000
 
 
 def shard_of(key: Column, shards: int, seed: int) -> Column:
@@ -46,7 +48,8 @@ def write_shards(docs: DataFrame, shards: int = 16, seed: int = 42) -> DataFrame
     counts = files.groupBy("_shard", "_bucket").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_shard", "_bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_start"))
-    out = files.join(starts, ["_shard", "_bucket"]).withColumn("_slot", (F.col("_start") + F.col("_at")).cast("long"))
+    few = shards * buckets <= FEW_BUCKETS
+    out = files.join(F.broadcast(starts) if few else starts, ["_shard", "_bucket"]).withColumn("_slot", (F.col("_start") + F.col("_at")).cast("long"))
     return out.select(*plain.columns, "_shard", "_bucket", "_slot").toDF(*docs.columns, "_shard", "_bucket", "_slot")
 
 
