@@ -42,17 +42,14 @@ def _count(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with a word fails a rule."""
-    n = F.size(words(line))
+def line_fails(line: Column, n: Column | None = None) -> Column:
+    """Whether a line with a word fails a rule. n: its words, if they are counted already."""
+    n = F.size(words(line)) if n is None else n
     unfinished = (n >= LONG_LINE) & (_count(line, SENTENCE_ENDS) == 0)
     symbols = 2 * _count(line, SYMBOLS) >= n
     marks = _count(line, NAVIGATION)
     navigation = (marks >= 2) & (marks * 5 >= n)
-    lower = F.lower(line)
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | lower.contains(phrase)
+    boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
     return unfinished | symbols | navigation | boilerplate | ~line.rlike("[\\p{L}\\p{N}]")
 
 
@@ -102,14 +99,16 @@ def measures(docs: DataFrame) -> DataFrame:
 def line_first_cleaning(docs: DataFrame) -> DataFrame:
     """docs with the base measures, _base_failed, _n_lines, _n_failed_lines, _n_words_left, _clean (text) and _kept."""
     out = measures(docs)
-    failed = out.withColumn("_good", F.filter("_lines", lambda x: ~line_fails(x)))
+    # counted once a line: within a lambda, an expression is computed as often as it is written
+    counted = out.withColumn("_counted", F.transform("_lines", lambda x: F.struct(x.alias("line"), F.size(words(x)).alias("n"))))
+    failed = counted.withColumn("_good", F.filter("_counted", lambda x: ~line_fails(x["line"], x["n"]))).drop("_counted")
     left = failed.withColumns(
         {
             "_n_lines": F.size("_lines").cast("long"),
             "_n_failed_lines": (F.size("_lines") - F.size("_good")).cast("long"),
-            "_n_words_left": F.aggregate("_good", F.lit(0), lambda a, x: a + F.size(words(x))).cast("long"),
+            "_n_words_left": F.aggregate("_good", F.lit(0), lambda a, x: a + x["n"]).cast("long"),
             "_base_failed": (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat_words") > MOST_REPEATED_PERCENT * F.col("_n_words")),
-            "_clean": F.array_join("_good", "\n"),
+            "_clean": F.array_join(F.transform("_good", lambda x: x["line"]), "\n"),
         }
     ).drop("_lines", "_good")
     return left.withColumn("_kept", ~F.col("_base_failed") & (F.col("_n_words_left") >= (1 - MOST_LOST) * F.col("_n_words")))
