@@ -26,15 +26,21 @@ _pow = np.ones(1, np.uint64)
 _inv = np.ones(1, np.uint64)
 
 
-@cache
-def classes() -> np.ndarray:
-    """The class of each code point."""
-    out = np.zeros(0x110000, np.uint8)
-    codes = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype(np.uint32)
-    every = codes.astype("<u4").tobytes().decode("utf-32-le")
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-        for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
-            out[codes[a:b]] = kind
+_UNKNOWN = 255
+_classes = np.full(0x110000, _UNKNOWN, np.uint8)
+
+
+def classes(codes: np.ndarray) -> np.ndarray:
+    """The class of each code point; those not met before are asked of the library."""
+    out = _classes[codes]
+    if (out == _UNKNOWN).any():
+        new = np.unique(codes[out == _UNKNOWN])
+        _classes[new] = OTHER
+        text = new.astype("<u4").tobytes().decode("utf-32-le")
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+            for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
+                _classes[new[a:b]] = kind
+        out = _classes[codes]
     return out
 
 
@@ -73,7 +79,7 @@ class PreTokens:
     def __init__(self, codes: np.ndarray, bounds: np.ndarray, space_first: bool):
         global _pow, _inv
         self.codes, n = codes, len(codes)
-        kind = classes()[codes]
+        kind = classes(codes)
         edge = np.zeros(n + 1, bool)
         edge[bounds] = True  # where a row begins or all end
         new = edge.copy()

@@ -33,9 +33,11 @@ from kindred.plans.storage import Scratch
 
 BLOCK, PERCENTILE = 1024, 90
 #: Bytes of text for each range of documents that a task writes, and ids after which it starts the next file.
-RANGE_BYTES, FILE_IDS = 16 << 20, 1 << 19
-MEMORY = 1_000_000
+RANGE_BYTES, FILE_IDS = 16 << 20, 1 << 18
+#: Words in a worker's memory, new ones before they are merged into it, and words that the library gets at a time.
+MEMORY, RECENT, TOGETHER = 2_000_000, 200_000, 4_000
 _MAGIC = b"KTF1"
+_HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("size", "u1"), ("n", "<u2")])
 
 
 def _width(x: np.ndarray) -> np.ndarray:
@@ -54,15 +56,17 @@ def encode_file(ids: np.ndarray, lengths: np.ndarray, block: int = BLOCK, percen
     high = rest >> width[:, None]
     images = [b""] * n
     for w in np.unique(width).tolist():
-        at = np.flatnonzero(width == w)
-        bits = ((low[at][:, :, None] >> np.arange(w)) & 1).astype(np.uint8).reshape(len(at), -1)
-        packed = np.packbits(bits, axis=1, bitorder="little") if w else np.zeros((len(at), 0), np.uint8)
-        for row, i in zip(packed, at.tolist(), strict=True):
-            out = np.flatnonzero(high[i])
-            top = high[i][out]
-            size = 0 if not len(out) else 1 if top.max() < 1 << 8 else 2 if top.max() < 1 << 16 else 4
-            tail = out.astype("<u2").tobytes() + (top.astype(f"<u{size}").tobytes() if size else b"")
-            images[i] = struct.pack("<IBBH", int(base[i]), w, size, len(out)) + row.tobytes() + tail
+        every = np.flatnonzero(width == w)
+        for at in np.array_split(every, max(1, len(every) // 32)):
+            kind = "<u2" if w <= 16 else "<u4"
+            bits = np.unpackbits(low[at].astype(kind).reshape(-1, 1).view(np.uint8), axis=1, count=w, bitorder="little") if w else np.zeros((0, 0), np.uint8)
+            packed = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little") if w else np.zeros((len(at), 0), np.uint8)
+            for row, i in zip(packed, at.tolist(), strict=True):
+                out = np.flatnonzero(high[i])
+                top = high[i][out]
+                size = 0 if not len(out) else 1 if top.max() < 1 << 8 else 2 if top.max() < 1 << 16 else 4
+                tail = out.astype("<u2").tobytes() + (top.astype(f"<u{size}").tobytes() if size else b"")
+                images[i] = struct.pack("<IBBH", int(base[i]), w, size, len(out)) + row.tobytes() + tail
     starts = np.cumsum([0, *(len(x) for x in images[:-1])]) if n else np.zeros(0)
     head = _MAGIC + struct.pack("<4I", len(ids), len(lengths), n, block)
     return head + starts.astype("<u4").tobytes() + np.asarray(lengths).astype("<u4").tobytes() + b"".join(images)
@@ -80,26 +84,33 @@ class TokenFile:
         self.lengths = np.frombuffer(image, "<u4", self.n_docs, 20 + 4 * self.n_blocks).astype(np.int64)
         self.base = 20 + 4 * (self.n_blocks + self.n_docs)
 
-    def read_block(self, i: int) -> np.ndarray:
-        at = self.base + int(self.starts[i])
-        least, width, size, n = struct.unpack_from("<IBBH", self.image, at)
-        at += 8
-        many = -(-self.block * width // 8)
-        bits = np.unpackbits(np.frombuffer(self.image, np.uint8, many, at), bitorder="little")[: self.block * width].reshape(self.block, width)
-        out = np.zeros(self.block, np.int64)
-        for b in range(width):
-            out |= bits[:, b].astype(np.int64) << b
-        if n:
-            where = np.frombuffer(self.image, "<u2", n, at + many)
-            out[where] |= np.frombuffer(self.image, f"<u{size}", n, at + many + 2 * n).astype(np.int64) << width
-        return (out + least)[: self.n_ids - i * self.block]
+    def read_blocks(self, first: int, last: int) -> np.ndarray:
+        """The ids of blocks first to last, blocks of one width together."""
+        raw = np.frombuffer(self.image, np.uint8)
+        at = self.base + self.starts[first : last + 1].astype(np.int64)
+        heads = raw[at[:, None] + np.arange(8)].copy().view(_HEAD).ravel()
+        out = np.zeros((len(at), self.block), np.int64)
+        many = -(-self.block * heads["width"].astype(np.int64) // 8)
+        for w in np.unique(heads["width"]).tolist():
+            if w:
+                rows = np.flatnonzero(heads["width"] == w)
+                kind = np.dtype("<u2" if w <= 16 else "<u4")
+                for part in np.array_split(rows, max(1, len(rows) // 32)):
+                    bits = np.unpackbits(raw[(at[part] + 8)[:, None] + np.arange(many[part[0]])], axis=1, count=self.block * w, bitorder="little")
+                    whole = np.packbits(bits.reshape(-1, w), axis=1, bitorder="little")
+                    out[part] = np.pad(whole, ((0, 0), (0, kind.itemsize - whole.shape[1]))).view(kind).reshape(len(part), -1)
+        for i in np.flatnonzero(heads["n"]).tolist():
+            n, width, size, place = int(heads["n"][i]), int(heads["width"][i]), int(heads["size"][i]), int(at[i] + 8 + many[i])
+            where = np.frombuffer(self.image, "<u2", n, place)
+            out[i, where] |= np.frombuffer(self.image, f"<u{size}", n, place + 2 * n).astype(np.int64) << width
+        return (out + heads["least"].astype(np.int64)[:, None]).ravel()[: self.n_ids - first * self.block]
 
     def ids(self, lo: int = 0, hi: int | None = None) -> np.ndarray:
         hi = self.n_ids if hi is None else min(hi, self.n_ids)
         if lo >= hi:
             return np.zeros(0, np.uint32)
         first, last = lo // self.block, (hi - 1) // self.block
-        out = np.concatenate([self.read_block(i) for i in range(first, last + 1)])
+        out = self.read_blocks(first, last)
         return out[lo - first * self.block : hi - first * self.block].astype(np.uint32)
 
 
@@ -116,9 +127,50 @@ class WordCoder:
         self.forget()
 
     def forget(self):
-        self.seen: dict[int, int] = {}
-        self.store, self.used = np.zeros(1 << 20, np.int32), 0
-        self.begins, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.main, self.recent = none, none  # sorted hashes of words, and their numbers
+        self.store, self.used, self.words = np.zeros(1 << 20, np.int32), 0, 0
+        self.begins, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of sorted hashes, -1 for those not seen."""
+        out = np.full(len(h), -1, np.int64)
+        for keys, numbers in (self.main, self.recent):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[at] == h
+                out[hit] = numbers[at[hit]]
+        return out
+
+    def _learn(self, h: np.ndarray, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers of new words, whose ids the library gives; words stand apart, so each is one pre-token."""
+        many = len(h)
+        flat, sizes = [], np.zeros(many, np.int32)
+        for lo in range(0, many, TOGETHER):
+            a, b = start[lo : lo + TOGETHER], end[lo : lo + TOGETHER]
+            n = b - a
+            apart = np.full(int(n.sum()) + len(n), 32, "<u4")
+            apart[np.arange(int(n.sum())) + np.repeat(np.arange(len(n)), n)] = gather(n, a, codes)
+            got = self.tokenizer.encode(apart.tobytes().decode("utf-32-le"), add_special_tokens=False)
+            of = np.array(got.word_ids, np.int64)
+            if not len(of) or of[-1] != len(n) - 1:
+                raise ValueError("a pre-token was split")
+            sizes[lo : lo + len(n)] = np.bincount(of, minlength=len(n))
+            flat.append(np.array(got.ids, np.int32))
+        ids, k = np.concatenate(flat), self.words
+        while self.used + len(ids) > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
+        while k + many > len(self.sizes):
+            self.sizes, self.begins = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.begins))
+        self.store[self.used : self.used + len(ids)] = ids
+        self.sizes[k : k + many] = sizes
+        self.begins[k : k + many] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.words = self.used + len(ids), k + many
+        numbers = np.arange(k, k + many, dtype=np.int32)
+        self.recent = _joined(self.recent, (h, numbers))
+        if len(self.recent[0]) > RECENT:
+            self.main, self.recent = _joined(self.main, self.recent), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        return numbers
 
     def encode(self, data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and the rows' bounds in them."""
@@ -128,29 +180,22 @@ class WordCoder:
         t = PreTokens(*normal_rows(data, bounds), False)
         if not len(t.start):
             return np.zeros(0, np.int32), np.zeros(len(bounds), np.int64)
-        if len(self.seen) > MEMORY:
+        if self.words > MEMORY:
             self.forget()
         h, first, to = np.unique(t.hash, return_index=True, return_inverse=True)
-        place = [self.seen.get(x, -1) for x in h.tolist()]
-        new = [i for i, p in enumerate(place) if p < 0]
-        if new:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([t.text(first[i]) for i in new], add_special_tokens=False)]
-            sizes = np.array([len(x) for x in found])
-            flat = np.array([i for x in found for i in x], np.int32)
-            k = len(self.seen)
-            while self.used + len(flat) > len(self.store):
-                self.store = np.concatenate([self.store, np.zeros_like(self.store)])
-            while k + len(new) > len(self.sizes):
-                self.sizes, self.begins = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.begins))
-            self.store[self.used : self.used + len(flat)] = flat
-            self.sizes[k : k + len(new)] = sizes
-            self.begins[k : k + len(new)] = self.used + np.cumsum(sizes) - sizes
-            self.used += len(flat)
-            for j, i in enumerate(new):
-                place[i] = self.seen[int(h[i])] = k + j
-        at = np.array(place)[to]
-        each = self.sizes[at]
-        return gather(each, self.begins[at], self.store), np.concatenate([[0], np.cumsum(each)])[t.first]
+        place = self._find(h)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = self._learn(h[new], t.codes, t.start[first[new]], t.end[first[new]])
+        at = place[to]
+        each = self.sizes[at].astype(np.int64)
+        return gather(each, self.begins[at].astype(np.int64), self.store), np.concatenate([[0], np.cumsum(each)])[t.first]
+
+
+def _joined(a, b):
+    keys = np.concatenate([a[0], b[0]])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], np.concatenate([a[1], b[1]])[order]
 
 
 _coders: dict[str, WordCoder] = {}
