@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages, each an operator of kindred.llm over all that the stage before has kept.
 
-toxicity      documents with a toxicity score of TOXIC or more go
+toxicity      documents that the classifier calls toxic (a score of THRESHOLD or more, as in op1_toxicity) go
 near_copies   of each group of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays
 substrings    words in passages of PASSAGE words that start earlier in the corpus are taken out of the texts
 benchmark     words in matches with benchmark items are taken out of the texts
@@ -19,10 +19,10 @@ from kindred.llm.bpe import bpe_round_trip, default_path
 from kindred.llm.decontaminate import contamination
 from kindred.llm.jaccard_join import jaccard_components
 from kindred.llm.substring_dedup import substring_dedup
-from kindred.llm.toxicity import toxicity_scores
+from kindred.llm.toxicity import THRESHOLD, toxicity_scores
 from kindred.plans.storage import Scratch
 
-TOXIC, PASSAGE = 0.5, 20
+PASSAGE = 20
 SHINGLE, SIMILAR = 5, (80, 100)
 
 
@@ -36,7 +36,7 @@ def _with_text(docs: DataFrame, columns: list[str], changed, text) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return out.where(F.col("_score") < TOXIC).select(*docs.columns)
+    return out.where(F.col("_score") < THRESHOLD).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

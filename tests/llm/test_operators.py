@@ -236,3 +236,13 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
     texts = dict(_texts())
     assert got[0].decoded_sha256 == digest(texts[0]) and got[5].decoded_sha256 == digest("") and got[4].decoded_sha256 != digest(texts[4]) and got[3].decoded_sha256 != digest(texts[3])
+
+
+def test_the_toxicity_stage_goes_by_the_verdict_of_op1(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = toxicity.op1_toxicity(spark, d).collect()
+    kept = {r.doc_id for r in corpus_pipeline.toxicity(spark, docs, d).collect()}
+    assert kept == {r.doc_id for r in rows if not r.predicted} and any(0.3 <= r.score < 0.5 for r in rows)
