@@ -1,13 +1,15 @@
 """A corpus pipeline of five stages, each an operator of kindred.llm over all that the stage before has kept.
 
 toxicity      documents that the classifier calls toxic (a score of THRESHOLD or more, as in op1_toxicity) go
-near_copies   of each group of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays
+near_copies   of each group of near duplicates (five-word shingles, similarity 0.8) the row of the smallest doc_id stays
 substrings    words in passages of PASSAGE words that start earlier in the corpus are taken out of the texts
 benchmark     words in matches with benchmark items are taken out of the texts
 encode        every text is encoded by byte-level BPE and decoded again
 
-All stages but the last return the columns of documents; where a text changes, n_chars follows it. Rows with a null
-doc_id pass the near-copy and substring stages as they are. A stage's result is written and read again by the next.
+All stages but the last return the columns of documents; where a text changes, n_chars follows it. Each row is a document,
+also one with a null doc_id or one that other rows have too: the near-copy and substring stages go by a number of each
+row's own, which rises with doc_id (nulls last; of rows with one doc_id, by a hash of the text). A stage's result is
+written and read again by the next.
 """
 
 from __future__ import annotations
@@ -34,19 +36,37 @@ def _with_text(docs: DataFrame, columns: list[str], changed, text) -> DataFrame:
     return out.select(*columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with doc_id a number of each row's own, in the order of the doc_id before, which is kept as _doc_id.
+
+    Where each row has a doc_id of its own that is the number. Otherwise rows are sorted, numbered and written, so that
+    each reading finds the same numbers.
+    """
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").take(1):
+        return docs.withColumn("_doc_id", F.col("doc_id"))
+    rows = docs.withColumnRenamed("doc_id", "_doc_id").withColumn("_at", F.monotonically_increasing_id())
+    rows = rows.orderBy(F.col("_doc_id").asc_nulls_last(), F.xxhash64("text"), "_at").drop("_at")
+    return Scratch(docs.sparkSession, "rows").write(rows.withColumn("doc_id", F.monotonically_increasing_id()), "rows")
+
+
+def _unnumbered(rows: DataFrame) -> DataFrame:
+    return rows.drop("doc_id").withColumnRenamed("_doc_id", "doc_id")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.where(F.col("_score") < THRESHOLD).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_components(docs, SHINGLE, *SIMILAR)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = _numbered(docs)
+    groups = jaccard_components(rows, SHINGLE, *SIMILAR)
+    gone = groups.where("component_id <> doc_id").select("doc_id")
+    return _unnumbered(rows.join(gone, "doc_id", "left_anti")).select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = substring_dedup(docs, PASSAGE)
+    out = _unnumbered(substring_dedup(_numbered(docs), PASSAGE))
     return _with_text(out, docs.columns, F.col("_n_removed") > 0, F.col("_kept"))
 
 

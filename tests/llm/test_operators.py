@@ -246,3 +246,23 @@ def test_the_toxicity_stage_goes_by_the_verdict_of_op1(spark):
     rows = toxicity.op1_toxicity(spark, d).collect()
     kept = {r.doc_id for r in corpus_pipeline.toxicity(spark, docs, d).collect()}
     assert kept == {r.doc_id for r in rows if not r.predicted} and any(0.3 <= r.score < 0.5 for r in rows)
+
+
+def test_pipeline_stages_take_each_row_as_a_document(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    texts = [" ".join(f"{c}{rnd.randrange(10**6)}" for _ in range(60)) for c in "abcdef"]
+    passage = " ".join(texts[0].split()[:30])
+    # 1: copies under one doc_id; 2: a near copy of 1 and a text of its own; null: a copy of 3, and one text twice
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[0] + " more"), (2, texts[1]), (3, texts[2]), (None, texts[2]), (None, texts[3]), (None, texts[3]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    near = corpus_pipeline.near_copies(spark, docs, "")
+    assert near.columns == docs.columns
+    assert {tuple(r) for r in near.collect()} == {(1, texts[0]), (2, texts[1]), (3, texts[2]), (None, texts[3]), (None, None)} and near.count() == 5
+    rows = [(1, texts[4] + " " + passage), (1, texts[5] + " " + passage), (None, passage + " end"), (None, texts[1]), (7, None)]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    out = [tuple(r) for r in corpus_pipeline.substrings(spark, docs, "").collect()]
+    left = [t for i, t, _ in out if i == 1]
+    assert sorted(len(t.split()) for t in left) == [60, 90] and all(n == len(t or "") for _, t, n in out)
+    assert {(None, "end"), (None, texts[1]), (7, None)} == {(i, t) for i, t, _ in out if i != 1}
