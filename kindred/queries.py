@@ -46,15 +46,27 @@ def _units(spark, d) -> DataFrame:
     return prose_units(_files(spark, d), CFG)
 
 
-_scans: dict[tuple, ScanResult] = {}
+_scans: dict[tuple, tuple[list, ScanResult]] = {}
+
+
+def _state(spark, d) -> list[tuple]:
+    """Path, size and time of change of each file of the tables that an analysis reads."""
+    out = []
+    for table in ("documents", "labels"):
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{table}.parquet")
+        found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+        while found.hasNext():
+            f = found.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)
 
 
 def _scan(spark, d) -> ScanResult:
-    """One analysis for each session and folder; later queries are lookups in its written result."""
-    key = spark.sparkContext.applicationId, d
-    if key not in _scans:
-        _scans[key] = analyze(_files(spark, d), _units(spark, d), CFG)
-    return _scans[key]
+    """One analysis for each session, folder and state of its files; later queries are lookups in its written result."""
+    key, state = (spark.sparkContext.applicationId, d), _state(spark, d)
+    if key not in _scans or _scans[key][0] != state:
+        _scans[key] = state, analyze(_files(spark, d), _units(spark, d), CFG)
+    return _scans[key][1]
 
 
 # files ------------------------------------------------------------------------------------------------------------

@@ -122,3 +122,15 @@ def test_results_do_not_depend_on_partitions(spark):
         assert {tuple(r) for r in match.exact_members(prose_units(prose_files(docs), cfg)).collect()} == once
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_an_analysis_is_made_again_when_its_tables_change(spark, tmp_path):
+    from kindred.queries import QUERIES
+
+    lines = [f"w{i} one two three four five six seven" for i in range(12)]
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for n in (2, 3):
+        docs = [(i, "\n".join(lines), "en", "s") for i in range(n)]
+        spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        for _ in range(2):
+            assert max(r.n_functions for r in QUERIES["class_totals"](spark, str(tmp_path)).collect()) == n
