@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,10 +101,25 @@ def region_text(content: Column, start: int, end: int) -> Column:
     return F.array_join(F.slice(F.split(content, "\n"), first, max(0, end - first + 1)), "\n")
 
 
+def linked(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
+    """Paths under a local root of symlinked files and of symlinked directories; other stores have none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() != "file":
+        return [], []
+    top = fs.makeQualified(at).toUri().getPath()
+    files, dirs = [], []
+    for folder, subfolders, names in os.walk(top):
+        files += [p for n in names if os.path.islink(p := os.path.join(folder, n))]
+        dirs += [p for n in subfolders if os.path.islink(p := os.path.join(folder, n))]
+    return files, dirs
+
+
 def read_files(spark: SparkSession, roots: list[str], cfg: Config) -> DataFrame:
     """(root, file, language, content, content_hash, size, is_test, is_generated) of the source files under roots.
 
     Names and sizes are tested before contents are read: binaryFile takes the filter on length down to the listing.
+    Symlinked files are skipped unless follow_symlinks; files below symlinked directories always are.
     """
     out = None
     for root in roots:
@@ -112,6 +128,11 @@ def read_files(spark: SparkSession, roots: list[str], cfg: Config) -> DataFrame:
         path = F.regexp_replace("path", r"^[a-z]+:/+", "/")
         rows = raw.select(F.lit(root).alias("root"), path.alias("path"), F.expr(f"substring(regexp_replace(path, '^[a-z]+:/+', '/'), {len(top) + 2})").alias("file"), "content", "length")
         rows = rows.withColumn("language", language_of(F.col("file"))).where(F.col("language").isNotNull() & ~is_pruned(F.col("file"), cfg) & ~matches_any(F.col("file"), list(cfg.exclude)))
+        files, dirs = linked(spark, root)
+        if files and not cfg.follow_symlinks:
+            rows = rows.where(~F.col("path").isin(files))
+        for d in dirs:
+            rows = rows.where(~F.startswith(F.col("path"), F.lit(d + "/")))
         out = rows if out is None else out.unionByName(rows)
     text = F.decode("content", "UTF-8")
     out = out.withColumns({"content_hash": F.sha2("content", 256), "text": text, "is_test": is_test(F.col("path"), F.col("language"))})

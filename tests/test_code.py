@@ -100,3 +100,15 @@ def test_scan_of_a_tree(spark, tmp_path):
     found = analyze(files, code_units(files, cfg), cfg).findings.where("not suppressed").collect()
     assert {tuple(sorted(r.file for r in f.regions)) for f in found} == {("a/product.rb", "a/user.rb"), ("a/user.ts", "b/product.ts")}
     assert {f.type for f in found} == {"renamed"} and all(f.similarity == 1.0 for f in found)
+
+
+def test_symlinks_are_skipped_unless_followed(spark, tmp_path):
+    root, other = tmp_path / "tree", tmp_path / "other"
+    for at in (root / "a.ts", other / "b.ts"):
+        at.parent.mkdir()
+        at.write_text(SCRIPT.format(N="User", n="user"))
+    (root / "link.ts").symlink_to(other / "b.ts")
+    (root / "folder").symlink_to(other)
+    names = lambda cfg: sorted(r.file for r in read_files(spark, [str(root)], cfg).select("file").collect())
+    assert names(Config()) == ["a.ts"] and names(Config(follow_symlinks=True)) == ["a.ts", "link.ts"]
+    assert names(Config()) == sorted(r.file for r in read_files(spark, [f"file://{root}"], Config()).select("file").collect())
