@@ -10,8 +10,9 @@ is its one shingle. Two documents link when den * |intersection| >= num * |union
    either; those that no other document has need not be looked up. The holders of a shingle, sorted by set size, are
    chained to their neighbours unless the sizes alone rule out a link, which takes rows in proportion to the holders.
    Components of the chains hold all links.
-3. Each component's sets are dealt into blocks of bounded size. A block's sets go into a radix tree in the global
-   order from its end, most frequent first, so that similar sets share paths. Each set walks the tree with the overlap so far, which
+3. Components are sorted by set size over all tasks, and each one's sets are dealt into blocks of bounded length and
+   number of shingles as they come, so that no task numbers a component. A block's sets, packed as numbers that rise in
+   the global order, go into a radix tree in that order from its end, most frequent first, so that similar sets share paths. Each set walks the tree with the overlap so far, which
    the sets below a node share, and leaves a subtree that can't reach the needed overlap with the lengths that remain.
 4. Blocks of one component are then joined with each other, but for pairs that sizes rule out or whose sets are all
    linked already. So a large group of near copies, linked within its blocks, needs few or no further joins.
@@ -27,10 +28,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.filters import SCHEMA, bits_for, build, has, packed
+from kindred.llm.filters import MOST_ONCE, SCHEMA, bits_for, build, has, packed
 from kindred.llm.words import SPACED, longs, mix, poly, sliced
 from kindred.operators.components import connected_components
 from kindred.plans.storage import Scratch
@@ -38,8 +39,8 @@ from kindred.plans.storage import Scratch
 #: A shingle is frequent from about so many documents on.
 OFTEN = 32
 BITS_EACH = 8
-#: Sets in a block of a component.
-BLOCK = 256
+#: Sets in a block of a component (a power of two), and about the shingles from which on a block has fewer sets.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18
 #: Tokens of an edge that a walk compares between two looks at the bound.
 STRIDE = 64
 
@@ -75,18 +76,17 @@ def _nodes_of(k: int):
 class Order:
     """The global order of shingles. share: of the hash space, whose shingles come first and are known to the filters."""
 
-    def __init__(self, share: float, bits: int, twice: bytes, many: bytes):
-        self.most, self.bits = np.uint64(int(min(share, 1) * (2**64 - 1))), bits
-        self.twice, self.many = np.frombuffer(twice, np.uint8), np.frombuffer(many, np.uint8)
+    def __init__(self, share: float, twice: np.ndarray, many: np.ndarray):
+        self.most, self.twice, self.many = np.uint64(int(min(share, 1) * (2**64 - 1))), twice, many
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """0: of one document; 1: of some; 2: of many; 3: not known."""
         out = np.full(len(h), 3, np.uint8)
         known = np.flatnonzero(_low(h, self.most))
-        again = has(self.twice, h[known], self.bits)
+        again = has(self.twice, h[known])
         out[known] = again
         known = known[again]
-        out[known[has(self.many, h[known], self.bits)]] = 2
+        out[known[has(self.many, h[known])]] = 2
         return out
 
 
@@ -109,7 +109,7 @@ def _known_of(k: int, share: float):
 def global_order(docs: DataFrame, k: int, share: float) -> Order:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = bits_for(size / 5 * min(share, 1), BITS_EACH)
-    return Order(share, bits, *build(docs.select("text").mapInArrow(_known_of(k, share), SCHEMA), bits, often=OFTEN))
+    return Order(share, *build(docs.select("text").mapInArrow(_known_of(k, share), SCHEMA), bits, often=OFTEN))
 
 
 def _ordered(s: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray]:
@@ -171,15 +171,14 @@ def _chains_of(num: int, den: int):
     return run
 
 
-def _wanted_of(bits: int, wanted):
+def _wanted_of(wanted):
     """Rows whose doc_id may be wanted, so that the join after moves few texts."""
 
     def run(batches):
-        filter_ = np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
             ids = batch.column(0)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(known & has(filter_, mix(ids.fill_null(0).to_numpy().view(np.uint64)), bits)))
+            yield batch.filter(pa.array(known & has(wanted.value, mix(ids.fill_null(0).to_numpy().view(np.uint64)))))
 
     return run
 
@@ -191,9 +190,9 @@ def _ids(batches):
 
 def texts_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, text) of docs whose doc_id is among ids (and of some more)."""
-    bits = bits_for(ids.count(), BITS_EACH)
-    wanted = docs.sparkSession.sparkContext.broadcast(build(ids.mapInArrow(_ids, SCHEMA), bits, once=True)[0])
-    return docs.mapInArrow(_wanted_of(bits, wanted), "doc_id long, text string")
+    bits = bits_for(ids.count(), BITS_EACH, MOST_ONCE)
+    wanted = docs.sparkSession.sparkContext.broadcast(build(ids.mapInArrow(_ids, SCHEMA), bits, once=True, again=False)[0])
+    return docs.mapInArrow(_wanted_of(wanted), "doc_id long, text string")
 
 
 class _Node:
@@ -264,7 +263,7 @@ class _Groups(dict):
             self[max(a, b)] = min(a, b)
 
 
-def join_block(sides: list[int], docs: list[int], roots: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+def join_block(sides, docs, roots, sets, num: int, den: int) -> list[tuple[int, int]]:
     """Links that join what isn't joined yet: of sets of side 0 with each other, or where both sides occur, of side 1 with side 0."""
     # any set has its tokens in the global order, so their numbers by place in it rise along each set
     order, at = np.unique(np.concatenate(sets), return_inverse=True)
@@ -294,30 +293,34 @@ def join_block(sides: list[int], docs: list[int], roots: list[int], sets: list[n
 _KEYS = 3
 
 
-def _joined_of(k: int, num: int, den: int, order):
-    """Rows (comp, i, j, side, rep, root, text) come sorted by comp, i and j."""
+def _packed_of(k: int, order):
+    """(rep, keys): sets as distinct numbers that rise in the global order from its end: the level, then the hash, both falling."""
 
-    def flush(rows):
-        sets = []
-        for _, s in shingle_sets(pa.array([r[6] for r in rows], pa.string()), k):
-            # numbers that rise in the global order from its end: the level, then the hash, both falling
-            key = (np.uint64(3) - order.value.levels(s).astype(np.uint64)) << np.uint64(62) | ~s >> np.uint64(2)
-            sets.append(np.unique(key))
-        return join_block([r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows], sets, num, den)
+    def run(batches):
+        for batch in batches:
+            keys = []
+            for _, s in shingle_sets(batch.column(1), k):
+                key = (np.uint64(3) - order.value.levels(s).astype(np.uint64)) << np.uint64(62) | ~s >> np.uint64(2)
+                keys.append(np.unique(key).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], ["rep", "keys"])
+
+    return run
+
+
+def _joined_of(num: int, den: int):
+    """Rows (comp, i, j, side, rep, root, keys) come sorted by comp, i and j; a task holds one pair of blocks at a time."""
 
     def run(batches):
-        key, rows = None, []
+        now, rows = None, []
         for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:_KEYS] != key:
-                    if len(rows) > 1:
-                        out += flush(rows)
-                    key, rows = row[:_KEYS], []
-                rows.append(row)
-            if out:
-                yield _links(out)
-        if len(rows) > 1 and (out := flush(rows)):
+            *key, side, rep, root = (batch.column(c).to_pylist() for c in range(_KEYS + 3))
+            for r, at in enumerate(zip(*key, strict=True)):
+                if at != now:
+                    if len(rows) > 1 and (out := join_block(*zip(*rows, strict=True), num, den)):
+                        yield _links(out)
+                    now, rows = at, []
+                rows.append((side[r], rep[r], root[r], np.frombuffer(batch.column(_KEYS + 3)[r].as_buffer(), np.uint64)))
+        if len(rows) > 1 and (out := join_block(*zip(*rows, strict=True), num, den)):
             yield _links(out)
 
     return run
@@ -343,36 +346,41 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     chains = tokens.repartition("h").sortWithinPartitions("h", "n", "doc_id").mapInArrow(_chains_of(num, den), "a long, b long").distinct()
     to_rep = named.where("rep is not null").select("doc_id", "rep").distinct()
     edges = chains.join(to_rep.toDF("a", "ra"), "a").join(to_rep.toDF("b", "rb"), "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-    coarse = scratch.write(connected_components(edges), "coarse").withColumnRenamed("component", "comp")
+    coarse_edges = scratch.write(connected_components(edges), "coarse")
+    coarse = coarse_edges.withColumnRenamed("component", "comp")
 
     sizes = named.where("rep = doc_id").groupBy("rep").agg(F.min("n").alias("n"))
-    by_size = Window.partitionBy("comp").orderBy("n", "rep")
-    dealt = coarse.withColumnRenamed("node", "rep").join(sizes, "rep").withColumn("blk", F.floor((F.row_number().over(by_size) - 1) / BLOCK).cast("int"))
-    dealt = scratch.write(dealt.select("comp", "blk", "rep", "n"), "blocks")
-    few = texts_among(slim, dealt.select("rep"))
-    sets = scratch.write(few.join(dealt.select("comp", "blk", F.col("rep").alias("doc_id")), "doc_id").select("comp", "blk", F.col("doc_id").alias("rep"), "text"), "texts")
+    sized = scratch.write(coarse.withColumnRenamed("node", "rep").join(sizes, "rep").select("comp", "n", "rep"), "sized")
+    rows = sized.repartitionByRange("comp", "n", "rep").sortWithinPartitions("comp", "n", "rep")
+    # a row's number rises with comp, size and rep, and has 33 bits for each task, which blocks therefore don't cross
+    most = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.pow(F.lit(2), F.floor(F.log2(F.lit(BLOCK_SHINGLES) / F.col("n")))).cast("long")))
+    number = F.monotonically_increasing_id()
+    dealt = scratch.write(rows.withColumn("number", number).select("comp", (F.col("number") - F.pmod("number", most)).alias("blk"), "rep", "n"), "blocks")
+    few = texts_among(slim, dealt.select("rep")).mapInArrow(_packed_of(k, order), "rep long, keys binary")
+    sets = scratch.write(few.join(dealt.select("comp", "blk", "rep"), "rep").select("comp", "blk", "rep", "keys"), "sets")
 
     def joined(rows):
-        rows = rows.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "side")
-        return rows.mapInArrow(_joined_of(k, num, den, order), "a long, b long")
+        rows = rows.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "side", "rep")
+        return rows.mapInArrow(_joined_of(num, den), "a long, b long")
 
-    within = joined(sets.select("comp", F.col("blk").alias("i"), F.col("blk").alias("j"), F.lit(0).alias("side"), "rep", F.col("rep").alias("root"), "text"))
+    within = joined(sets.select("comp", F.col("blk").alias("i"), F.col("blk").alias("j"), F.lit(0).alias("side"), "rep", F.col("rep").alias("root"), "keys"))
     links = scratch.write(within, "links")
     found = scratch.write(connected_components(links), "found")
 
     many = dealt.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("component", "rep"))
     blocks = many.groupBy("comp", "blk").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("r1"), F.max("root").alias("r2"))
     blocks = scratch.write(blocks, "summary")
-    if blocks.where("blk > 0").take(1):
+    if blocks.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1").take(1):
         left, right = blocks.alias("x"), blocks.alias("y")
         apart = F.expr("not (x.r1 = x.r2 and y.r1 = y.r2 and x.r1 = y.r1)")
         pairs = left.join(right, F.expr(f"x.comp = y.comp and x.blk < y.blk and x.most * {den}L >= y.least * {num}L") & apart)
         pairs = scratch.write(pairs.select("x.comp", F.col("x.blk").alias("i"), F.col("y.blk").alias("j")), "pairs")
         rooted = sets.join(many.select("rep", "root").distinct(), "rep")
-        sides = [rooted.join(pairs.withColumn("blk", F.col(c)), ["comp", "blk"]).select("comp", "i", "j", F.lit(s).alias("side"), "rep", "root", "text") for s, c in enumerate(("i", "j"))]
+        sides = [rooted.join(pairs.withColumn("blk", F.col(c)), ["comp", "blk"]).select("comp", "i", "j", F.lit(s).alias("side"), "rep", "root", "keys") for s, c in enumerate(("i", "j"))]
         links = links.union(scratch.write(joined(sides[0].union(sides[1])), "across"))
         found = scratch.write(connected_components(links), "found")
-    scratch.drop(sets)
+        scratch.drop(pairs)
+    scratch.drop(all_nodes, coarse_edges, sized, dealt, sets, blocks)
     grouped = named.join(found.toDF("rep", "component"), "rep", "left")
     own = F.when(F.col("rep").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     return grouped.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))

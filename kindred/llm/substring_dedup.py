@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.filters import SCHEMA, bits_for, build, has, packed
+from kindred.llm.filters import MOST_ONCE, SCHEMA, bits_for, build, has, packed
 from kindred.llm.words import SPACED, buffers, sliced
 
 #: Bits of a filter for each block.
@@ -46,29 +46,29 @@ def _blocks_of(block: int):
     return run
 
 
-def _candidates(w, block: int, window: int, bits: int, once: np.ndarray, twice: np.ndarray) -> np.ndarray:
+def _candidates(w, block: int, window: int, once: np.ndarray, twice: np.ndarray) -> np.ndarray:
     """Word positions at which a window starts that may also start elsewhere."""
     h = w.grams(block)
     if len(w.hash) < window:
         return np.zeros(0, np.int64)
     at = np.arange(len(h)) - w.first[w.row_of()[: len(h)]]
-    hit = has(once, h, bits) & w.inside(block)
+    hit = has(once, h) & w.inside(block)
     own = np.flatnonzero(hit & (at % block == 0))
-    hit[own] = has(twice, h[own], bits)
+    hit[own] = has(twice, h[own])
     before = np.concatenate([[0], np.cumsum(hit)])
     n = len(w.hash) - window + 1
     return np.flatnonzero((before[block : block + n] > before[:n]) & w.inside(window))
 
 
-def _windows_of(block: int, window: int, bits: int, parts: int, filters):
+def _windows_of(block: int, window: int, parts: int, filters):
     def run(batches):
-        once, twice = (np.frombuffer(x, np.uint8) for x in filters.value)
+        once, twice = filters.value
         for batch in batches:
             ids = batch.column(0)
             known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
             got = [[], [], [], []]
             for lo, _, w in sliced(batch.column(1), SPACED, False):
-                at = _candidates(w, block, window, bits, once, twice)
+                at = _candidates(w, block, window, once, twice)
                 row = w.row_of()[at]
                 at, row = at[known[lo + row]], row[known[lo + row]]
                 hashes = w.grams(window, 0)[at], (w.grams(window, 1)[at] >> np.uint64(32)).astype(np.uint32)
@@ -147,18 +147,18 @@ def _firsts(batches):
         yield flush()
 
 
-def _kept_of(block: int, window: int, bits: int, filters, columns: int, text_at: int, digest: bool):
+def _kept_of(block: int, window: int, filters, columns: int, text_at: int, digest: bool):
     """Batches of the input's columns, doc_id and the packed first places; adds n_words, n_removed and the rest."""
 
     def run(batches):
-        once, twice = (np.frombuffer(x, np.uint8) for x in filters.value)
+        once, twice = filters.value
         for batch in batches:
             ids, firsts = batch.column(columns), batch.column(columns + 1)
             data, bounds = buffers(batch.column(text_at))
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             n_words, n_removed, kept = [], [], []
             for lo, hi, w in sliced(batch.column(text_at), SPACED, False):
-                at = _candidates(w, block, window, bits, once, twice)
+                at = _candidates(w, block, window, once, twice)
                 row = w.row_of()[at]
                 late = np.ones(len(at), bool)
                 edges = np.searchsorted(row, np.arange(hi - lo + 1))
@@ -197,10 +197,10 @@ def substring_dedup(docs: DataFrame, window: int = 20, digest: bool = False) ->
         raise ValueError("window must be 2 at least")
     spark, block = docs.sparkSession, window // 2
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = bits_for(size / 5 / block, BITS_EACH)
+    bits = bits_for(size / 5 / block, BITS_EACH, MOST_ONCE)
     filters = spark.sparkContext.broadcast(build(docs.select("text").mapInArrow(_blocks_of(block), SCHEMA), bits, once=True))
     slim, parts = docs.select(F.col("doc_id").cast("long"), "text"), max(64, size >> 24)
-    places = slim.mapInArrow(_windows_of(block, window, bits, parts, filters), _PLACES)
+    places = slim.mapInArrow(_windows_of(block, window, parts, filters), _PLACES)
     first = places.repartition("part").sortWithinPartitions("part").mapInArrow(_firsts, "_id long, pos binary")
     by_doc = first.groupBy("_id").agg(F.collect_list("pos").alias("_first"))
 
@@ -208,7 +208,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, digest: bool = False) ->
     plain = docs.toDF(*(f"c{i}" for i in range(n)))
     joined = plain.withColumn("_id", F.col(f"c{docs.columns.index('doc_id')}").cast("long")).join(by_doc, "_id", "left").select(*plain.columns, "_id", "_first")
     fields = ", ".join(f"{c} {plain.schema[c].dataType.simpleString()}" for c in plain.columns)
-    out = joined.mapInArrow(_kept_of(block, window, bits, filters, n, docs.columns.index("text"), digest), f"{fields}, n_words long, n_removed long, kept string")
+    out = joined.mapInArrow(_kept_of(block, window, filters, n, docs.columns.index("text"), digest), f"{fields}, n_words long, n_removed long, kept string")
     return out.toDF(*docs.columns, "_n_words", "_n_removed", "_kept")
 
 
