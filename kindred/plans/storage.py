@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder the cluster names in spark.checkpoint.dir; where that is unset, a temporary one if the master is local.
+
+    On a cluster each executor would write to its own disk, so an unset folder is an error there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kindred-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
