@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.samples import at_most, held_out, known_labels, texts_of
+from kindred.llm.samples import free_names, at_most, held_out, known_labels, texts_of
 from kindred.llm.words import SPACED, buffers, sliced
 
 LABELLED = 20_000
@@ -121,7 +121,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     n = len(docs.columns)
     plain = docs.toDF(*(f"c{i}" for i in range(n)))
     fields = ", ".join(f"{c} {plain.schema[c].dataType.simpleString()}" for c in plain.columns)
-    return plain.mapInArrow(_scored_of(model, docs.columns.index("text")), f"{fields}, c{n} double").toDF(*docs.columns, "_score")
+    return plain.mapInArrow(_scored_of(model, docs.columns.index("text")), f"{fields}, c{n} double").toDF(*docs.columns, *free_names(docs.columns, ["_score"]))
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

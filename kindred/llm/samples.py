@@ -22,10 +22,29 @@ def known_labels(labels: DataFrame, label: str, folds: int, fold: int) -> DataFr
 
 
 def at_most(ids: DataFrame, most: int, seed: int) -> DataFrame:
-    """`most` rows at most, by a seeded hash of doc_id."""
-    return ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
+    """`most` distinct rows at most, those of the lowest seeded hashes of doc_id.
+
+    Rows are taken by a bound on the hash, four times as many as are wanted, before repeated ones are dropped: so what
+    is shuffled and sorted doesn't grow with the table.
+    """
+    rows = ids.count()
+    hashed = ids.withColumn("_hash", F.xxhash64("doc_id", F.lit(seed)))
+    if rows > 4 * most:
+        hashed = hashed.where(F.col("_hash") <= -(2**63) + int(2**64 * 4 * most / rows))
+    return hashed.distinct().orderBy("_hash", "doc_id").limit(most).drop("_hash")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, y, text) of a bounded sample of ids; the bound makes it small enough to broadcast."""
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")
+    """(doc_id, y, text) of a bounded sample of ids, one text of each (the smallest); the bound makes it small enough to broadcast."""
+    found = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
+def free_names(columns: list[str], names: list[str]) -> list[str]:
+    """Names for added columns: a name that the input has already gets another underscore."""
+    out = []
+    for name in names:
+        while name.lower() in {c.lower() for c in columns}:
+            name = "_" + name
+        out.append(name)
+    return out
