@@ -4,7 +4,7 @@ Each line is judged by itself and fails if it
 - has no mark of SENTENCE_ENDS at all although it has LONG_LINE words or more,
 - has half as many SYMBOLS as words, or more,
 - is navigation: it has two separators of NAVIGATION or more, and as many as a fifth of its words,
-- is boilerplate: it has one of the BOILERPLATE phrases in lower case, or
+- is boilerplate: in lower case it has one of the BOILERPLATE phrases, with no letter a to z or digit next to it, or
 - has no letter or digit at all, though it has a word.
 Failed lines are removed; lines without a word stay as they are. A document is kept if it passes the base rules and if
 the lines left hold at least a share MOST_LOST short of all its words.
@@ -12,15 +12,19 @@ the lines left hold at least a share MOST_LOST short of all its words.
 Base measures (see measures()): n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words.
 
 Cases: null and empty texts have zero in all measures, no line, and are not kept, as they have fewer than MIN_WORDS
-words. Texts of any length are judged whole. Repeated rows are judged alike. Other columns pass through; those added
-are led by an underscore.
+words. Texts of any length are judged whole. Repeated rows are judged alike, null doc_ids like others. Other columns
+pass through, whatever their names; those added follow them and are led by an underscore.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.samples import free_names
+
 # Fixed values of the rules.
 MIN_WORDS, MOST_REPEATED_PERCENT = 50, 50
 SENTENCE_ENDS = ".!?…"
@@ -32,86 +36,117 @@ MOST_LOST = 0.5
 
 _BLANK = " \t\n\x0b\x0c\r"
 _SPLIT = "[\\x20\\x09-\\x0D]+"
+_PHRASES = f"(?:^|[^a-z0-9])(?:{'|'.join(BOILERPLATE)})(?:$|[^a-z0-9])"
+
+
+def _any_of(chars: str) -> str:
+    return f"[{chars}]"
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, _SPLIT), lambda w: w != "")
+    bare = F.btrim(text, F.lit(_BLANK))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, _SPLIT))
 
 
 def _count(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def line_fails(line: Column, n: Column | None = None) -> Column:
-    """Whether a line with a word fails a rule. n: its words, if they are counted already."""
-    n = F.size(words(line)) if n is None else n
-    unfinished = (n >= LONG_LINE) & (_count(line, SENTENCE_ENDS) == 0)
-    symbols = 2 * _count(line, SYMBOLS) >= n
-    marks = _count(line, NAVIGATION)
-    navigation = (marks >= 2) & (marks * 5 >= n)
-    boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
-    return unfinished | symbols | navigation | boilerplate | ~line.rlike("[\\p{L}\\p{N}]")
+def line_words(line: Column) -> Column:
+    """How many words a line with a word has: one more than its blanks, if each blank is a single space."""
+    bare = F.btrim(line, F.lit(_BLANK))
+    spaces = F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit("")))
+    return F.when(bare.rlike("[\\x09-\\x0D]|\\x20\\x20"), F.size(F.split(bare, _SPLIT))).otherwise(spaces + 1)
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """docs with _lines (those with a word), _n_words, _word_chars, _n_symbols, _n_dup_lines and _n_repeat_words.
+def _may_be_boilerplate(text: Column) -> Column:
+    """Whether a text holds the letters of a phrase; a plain search is cheaper than the pattern."""
+    return reduce(Column.__or__, (F.contains(F.lower(text), F.lit(x)) for x in BOILERPLATE))
+
+
+def line_fails(line: Column, n: Column | None = None, boilerplate: bool = True) -> Column:
+    """Whether a line with a word fails a rule. n: its words, if they are counted already; boilerplate: whether to look for it.
+
+    Characters are counted only in lines that a pattern finds them in.
+    """
+    n = line_words(line) if n is None else n
+    unfinished = (n >= LONG_LINE) & ~line.rlike(_any_of(SENTENCE_ENDS))
+    symbols = line.rlike(_any_of(SYMBOLS)) & (2 * _count(line, SYMBOLS) >= n)
+    mark = _any_of(NAVIGATION)
+    navigation = line.rlike(f"{mark}.*{mark}") & (_count(line, NAVIGATION) * 5 >= n)
+    out = unfinished | symbols | navigation | ~line.rlike("[\\p{L}\\p{N}]")
+    return out | F.lower(line).rlike(_PHRASES) if boilerplate else out
+
+
+#: Columns that measures() and line_first_cleaning() add, and those they need on the way.
+_MEASURES = ["_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words"]
+_OWN = [*_MEASURES, "_base_failed", "_n_lines", "_n_failed_lines", "_n_words_left", "_clean", "_kept"]
+
+
+def _measured(text: DataFrame) -> DataFrame:
+    """Rows with a column `text` that is not null: its lines with a word, and its measures.
 
     n_repeat_words counts the words in three-word windows that the text has twice or more. Windows are compared by
-    64-bit hashes within one text. Sorted by hash and place, a repeated one has an equal neighbour; the places found,
-    sorted, cover three words each, or as many as lie before the next place.
+    64-bit hashes (of the hashes of both pairs of words) within one text. Sorted by hash and place, a repeated one has
+    an equal neighbour; the places found, sorted, cover three words each, or as many as lie before the next place.
     """
-    text = F.coalesce("text", F.lit(""))
-    out = docs.withColumn("_words", words(text))
-    n = F.size("_words")
+    out = text.withColumn("words", words(F.col("text")))
+    n = F.size("words")
+    hashed = lambda a, b: F.xxhash64(a, b)
     out = out.withColumns(
         {
-            "_lines": F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, _BLANK, "")) > 0),
+            "lines": F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_BLANK)) != ""),
             "_n_words": n.cast("long"),
-            "_word_chars": F.length(F.translate(text, _BLANK, "")).cast("long"),
-            "_n_symbols": _count(text, SYMBOLS).cast("long"),
-            "_windows": F.when(
-                n >= 3,
-                F.zip_with(
-                    F.zip_with(F.slice("_words", 1, n - 2), F.slice("_words", 2, n - 2), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-                    F.slice("_words", 3, n - 2),
-                    lambda x, c: F.xxhash64(x["a"], x["b"], c),
-                ),
-            ),
+            "_word_chars": F.length(F.array_join("words", "")).cast("long"),
+            "_n_symbols": F.when(F.col("text").rlike(_any_of(SYMBOLS)), _count(F.col("text"), SYMBOLS)).otherwise(0).cast("long"),
+            "pairs": F.when(n >= 4, F.zip_with(F.slice("words", 1, n - 1), F.slice("words", 2, n - 1), hashed)),
         }
-    ).drop("_words")
-    sorted_ = out.withColumn("_sorted", F.array_sort("_windows"))
-    size = F.size("_sorted")
-    again = F.exists(F.zip_with(F.slice("_sorted", 1, size - 1), F.slice("_sorted", 2, size - 1), lambda a, b: a == b), lambda x: x)
-    flagged = sorted_.withColumn("_placed", F.when((size >= 2) & again, F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("_sorted", "_windows")
-    size = F.size("_placed")
-    # each place next to those before and after it in the sorted order
-    none = F.lit(None).cast("struct<h:bigint,i:int>")
-    before = F.concat(F.array(none), F.slice("_placed", 1, size - 1))
-    after = F.concat(F.slice("_placed", 2, size - 1), F.array(none))
-    near = F.zip_with(F.zip_with("_placed", before, lambda x, y: F.struct(x["i"].alias("i"), x["h"].alias("h"), (x["h"] == y["h"]).alias("b"))), after, lambda x, y: F.when(x["b"] | (x["h"] == y["h"]), x["i"]))
-    found = flagged.withColumn("_places", F.when(size >= 2, F.array_sort(F.filter(near, lambda x: x.isNotNull())))).drop("_placed")
-    size = F.size("_places")
-    gaps = F.zip_with(F.slice("_places", 2, size - 1), F.slice("_places", 1, size - 1), lambda b, a: F.least(b - a, F.lit(3)))
-    repeat = F.when(size >= 1, F.lit(3) + F.when(size >= 2, F.aggregate(gaps, F.lit(0), lambda a, x: a + x)).otherwise(0)).otherwise(0)
-    return found.withColumns({"_n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "_n_repeat_words": repeat.cast("long")}).drop("_places")
+    ).drop("words")
+    n = F.size("pairs")
+    out = out.withColumn("windows", F.when(n >= 3, F.zip_with(F.slice("pairs", 1, n - 1), F.slice("pairs", 2, n - 1), hashed))).drop("pairs")
+    placed = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    out = out.withColumn("placed", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), placed)).drop("windows")
+    n = F.size("placed")
+    twice = F.zip_with(F.slice("placed", 1, n - 1), F.slice("placed", 2, n - 1), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])))
+    out = out.withColumn("places", F.when(n >= 2, F.sort_array(F.array_distinct(F.flatten(F.filter(twice, lambda x: x.isNotNull())))))).drop("placed")
+    n = F.size("places")
+    gaps = F.zip_with(F.slice("places", 2, n - 1), F.slice("places", 1, n - 1), lambda b, a: F.least(b - a, F.lit(3)))
+    repeat = F.when(n >= 2, F.lit(3) + F.aggregate(gaps, F.lit(0), lambda a, x: a + x)).otherwise(0)
+    return out.withColumns({"_n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"), "_n_repeat_words": repeat.cast("long")}).drop("places")
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """docs as one struct `row` beside `text`, so that no column of docs can clash with those added."""
+    return docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _together(out: DataFrame, columns: list[str], own: list[str]) -> DataFrame:
+    return out.select("row.*", *own).toDF(*columns, *free_names(columns, own))
+
+
+def measures(docs: DataFrame) -> DataFrame:
+    """docs with _n_words, _word_chars, _n_symbols, _n_dup_lines and _n_repeat_words."""
+    return _together(_measured(_apart(docs)), docs.columns, _MEASURES)
 
 
 def line_first_cleaning(docs: DataFrame) -> DataFrame:
     """docs with the base measures, _base_failed, _n_lines, _n_failed_lines, _n_words_left, _clean (text) and _kept."""
-    out = measures(docs)
+    out = _measured(_apart(docs))
     # counted once a line: within a lambda, an expression is computed as often as it is written
-    counted = out.withColumn("_counted", F.transform("_lines", lambda x: F.struct(x.alias("line"), F.size(words(x)).alias("n"))))
-    failed = counted.withColumn("_good", F.filter("_counted", lambda x: ~line_fails(x["line"], x["n"]))).drop("_counted")
+    counted = out.withColumn("counted", F.transform("lines", lambda x: F.struct(x.alias("line"), line_words(x).alias("n"))))
+    good = F.when(_may_be_boilerplate(F.col("text")), F.filter("counted", lambda x: ~line_fails(x["line"], x["n"])))
+    failed = counted.withColumn("good", good.otherwise(F.filter("counted", lambda x: ~line_fails(x["line"], x["n"], False)))).drop("counted")
     left = failed.withColumns(
         {
-            "_n_lines": F.size("_lines").cast("long"),
-            "_n_failed_lines": (F.size("_lines") - F.size("_good")).cast("long"),
-            "_n_words_left": F.aggregate("_good", F.lit(0), lambda a, x: a + x["n"]).cast("long"),
+            "_n_lines": F.size("lines").cast("long"),
+            "_n_failed_lines": (F.size("lines") - F.size("good")).cast("long"),
+            "_n_words_left": F.aggregate("good", F.lit(0), lambda a, x: a + x["n"]).cast("long"),
             "_base_failed": (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat_words") > MOST_REPEATED_PERCENT * F.col("_n_words")),
-            "_clean": F.array_join(F.transform("_good", lambda x: x["line"]), "\n"),
+            "_clean": F.array_join(F.col("good.line"), "\n"),
         }
-    ).drop("_lines", "_good")
-    return left.withColumn("_kept", ~F.col("_base_failed") & (F.col("_n_words_left") >= (1 - MOST_LOST) * F.col("_n_words")))
+    )
+    kept = ~F.col("_base_failed") & (F.col("_n_words_left") >= (1 - MOST_LOST) * F.col("_n_words"))
+    return _together(left.withColumn("_kept", kept), docs.columns, _OWN)
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -131,7 +166,7 @@ good AS (SELECT doc_id, words, text, lines, list_filter(lines, lambda x: NOT (
   (len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) >= 12 AND NOT regexp_matches(x, '[.!?…]'))
   OR 2 * (length(x) - length(translate(x, '#*$%&|<>', ''))) >= len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> ''))
   OR (length(x) - length(translate(x, '|»›•', '')) >= 2 AND 5 * (length(x) - length(translate(x, '|»›•', ''))) >= len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')))
-  OR regexp_matches(lower(x), 'lorem ipsum|cookie policy|privacy policy|terms of use|terms of service|all rights reserved|enable javascript|click here|sign up|log in|subscribe to our newsletter')
+  OR regexp_matches(lower(x), '(?:^|[^a-z0-9])(?:lorem ipsum|cookie policy|privacy policy|terms of use|terms of service|all rights reserved|enable javascript|click here|sign up|log in|subscribe to our newsletter)(?:$|[^a-z0-9])')
   OR NOT regexp_matches(x, '[\p{L}\p{N}]'))) AS good FROM w),
 m AS (SELECT g.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
   (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
