@@ -14,7 +14,7 @@ Files are rows of a Parquet table, which any store that Spark writes to can hold
 each task. A row is (file, first_doc, doc_ids, n_ids, image).
 
 Cases: null and empty texts have the end id alone. Rows are ordered by doc_id, nulls first, and rows that repeat a
-doc_id by their text. Text of any length is encoded whole. An empty table gives no file. Other columns are not stored.
+doc_id by a hash of their text, equal hashes by the text. Text of any length is encoded whole. An empty table gives no file. Other columns are not stored.
 """
 
 from __future__ import annotations
@@ -27,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.bpe import _spans
+from kindred.llm.bpe import _spans, byte_letters
 from kindred.llm.pretokens import PreTokens, gather, normal_rows
 from kindred.plans.storage import Scratch
 
 BLOCK, PERCENTILE = 1024, 90
 #: Bytes of text for each range of documents that a task writes, and ids after which it starts the next file.
 RANGE_BYTES, FILE_IDS = 16 << 20, 1 << 18
-#: Words in a worker's memory, new ones before they are merged into it, and words that the library gets at a time.
-MEMORY, RECENT, TOGETHER = 2_000_000, 200_000, 4_000
+#: Words in a worker's memory, and new ones before they are merged into it.
+MEMORY, RECENT = 2_000_000, 200_000
 _MAGIC = b"KTF1"
 _HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("size", "u1"), ("n", "<u2")])
 
@@ -115,7 +115,10 @@ class TokenFile:
 
 
 class WordCoder:
-    """Ids of words by the tokenizers library; a worker asks it for each word once while its memory lasts."""
+    """Ids of words by the tokenizers library; a worker asks its model for each word once while its memory lasts.
+
+    Words are told apart by 64-bit hashes: two of a worker's words would have to agree in one to get wrong ids.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -123,6 +126,11 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        letters = np.zeros(256, "<u4")
+        for letter, b in byte_letters().items():
+            letters[b] = ord(letter)
+        self.letters = letters
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
@@ -144,20 +152,17 @@ class WordCoder:
 
     def _learn(self, h: np.ndarray, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Numbers of new words, whose ids the library gives; words stand apart, so each is one pre-token."""
-        many = len(h)
-        flat, sizes = [], np.zeros(many, np.int32)
-        for lo in range(0, many, TOGETHER):
-            a, b = start[lo : lo + TOGETHER], end[lo : lo + TOGETHER]
-            n = b - a
-            apart = np.full(int(n.sum()) + len(n), 32, "<u4")
-            apart[np.arange(int(n.sum())) + np.repeat(np.arange(len(n)), n)] = gather(n, a, codes)
-            got = self.tokenizer.encode(apart.tobytes().decode("utf-32-le"), add_special_tokens=False)
-            of = np.array(got.word_ids, np.int64)
-            if not len(of) or of[-1] != len(n) - 1:
-                raise ValueError("a pre-token was split")
-            sizes[lo : lo + len(n)] = np.bincount(of, minlength=len(n))
-            flat.append(np.array(got.ids, np.int32))
-        ids, k = np.concatenate(flat), self.words
+        many, n = len(h), end - start
+        # the model takes a pre-token as the letters that stand for its bytes
+        raw = gather(n, start, codes).astype("<u4").tobytes().decode("utf-32-le")
+        heads = np.concatenate([[0], np.cumsum(n)])
+        data = np.frombuffer(raw.encode(), np.uint8)
+        if len(data) > len(raw):
+            heads = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[heads]
+        text, ends, tokenize = self.letters[data].tobytes().decode("utf-32-le"), heads.tolist(), self.model.tokenize
+        found = [[t.id for t in tokenize(text[a:b])] for a, b in zip(ends, ends[1:])]
+        sizes = np.array([len(x) for x in found], np.int32)
+        ids, k = np.array([i for x in found for i in x], np.int32), self.words
         while self.used + len(ids) > len(self.store):
             self.store = np.concatenate([self.store, np.zeros_like(self.store)])
         while k + many > len(self.sizes):
@@ -244,7 +249,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataF
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(2, size // RANGE_BYTES)
     slim = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = slim.repartitionByRange(ranges, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    rows = slim.repartitionByRange(ranges, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text").withColumn("part", F.spark_partition_id())
     made = rows.mapInArrow(_files_of(tokenizer, end_id), "part int, file int, doc_ids array<long>, n_ids long, image binary")
     files = scratch.write(made, "files")
     totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
