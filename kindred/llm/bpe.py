@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding with a transducer lexicon of the corpus's frequent words.
 
-All pre-tokens of the corpus are counted; the `lexicon` most frequent ones are compiled into a minimal acyclic
+All pre-tokens of the corpus are counted; the most frequent ones, `lexicon` at most, are compiled into a minimal acyclic
 transducer with their ids as output, which is broadcast (its size is bounded by that number) and mapped into memory by
 each worker. Frequent words take their ids from it. Words that it lacks are merged exactly, many at a time: of each
 word the leftmost pair of the lowest rank is merged until none is left. A word's ids don't depend on where they come
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from functools import cache
 
 import numpy as np
@@ -24,14 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.pretokens import PreTokens, _rows, gather
+from kindred.llm.samples import free_names
 from kindred.llm.transducer import Lexicon, compile_words
 from kindred.llm.words import buffers
+from kindred.plans.storage import Scratch
 
 LEXICON = 1 << 16
 SLICE = 1 << 20
 #: Words in a worker's memory, and bytes of a word that is merged among others.
 MEMORY, SHORT = 1_000_000, 32
 _NONE = np.int64(1 << 40)
+#: Code points of the longest word in the lexicon, and steps in which counts are told apart for each doubling.
+LONGEST, STEPS = 64, 16
 
 
 @cache
@@ -65,6 +70,8 @@ class Merges:
         self.specials = {t["content"]: t["id"] for t in file["added_tokens"]}
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in file["added_tokens"]):
             raise ValueError("added tokens that look at their surroundings are not supported")
+        longest_first = sorted((t.encode() for t in self.specials), key=len, reverse=True)
+        self.special = re.compile(b"|".join(map(re.escape, longest_first))) if longest_first else None
         names = {i: bytes(letters[c] for c in t) for t, i in vocab.items() if t not in self.specials} | {i: t.encode() for t, i in self.specials.items()}
         texts = [names.get(i, b"") for i in range(max(names) + 1)]
         self.lengths = np.array([len(t) for t in texts], np.int64)
@@ -162,8 +169,11 @@ class Coder:
 
     def encode(self, data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and the rows' bounds in them."""
-        if any(s.encode() in data for s in self.merges.specials):
+        if self.merges.special and self.merges.special.search(data):
             return self._with_specials(data, bounds)
+        return self._plain(data, bounds)
+
+    def _plain(self, data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         codes, at = _rows(data, bounds)
         t = PreTokens(codes, at, True)
         if not len(t.start):
@@ -205,26 +215,24 @@ class Coder:
         return np.array(place, np.int64)
 
     def _with_specials(self, data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        specials = sorted(self.merges.specials, key=len, reverse=True)
-        parts, out, n = [], [], [0]
+        """The pieces between special tokens are encoded as rows, and the tokens' ids put after them."""
+        cuts, after, last = [0], [], []
+        pieces = []
         for a, b in zip(bounds.tolist(), bounds.tolist()[1:]):
-            rest = data[a:b]
-            while True:
-                hits = [(i, s) for s in specials if (i := rest.find(s.encode())) >= 0]
-                if not hits:
-                    break
-                i, s = min(hits, key=lambda x: (x[0], -len(x[1])))
-                parts += [rest[:i], s]
-                rest = rest[i + len(s.encode()) :]
-            parts += [rest, None]
-        for p in parts:
-            if p is None:
-                n.append(sum(map(len, out)))
-            elif isinstance(p, str):
-                out.append(np.array([self.merges.specials[p]], np.int32))
-            else:
-                out.append(self.encode(p, np.array([0, len(p)]))[0])
-        return np.concatenate(out) if out else np.zeros(0, np.int32), np.array(n)
+            at = a
+            for m in self.merges.special.finditer(data, a, b):
+                pieces.append(data[at : m.start()])
+                after.append(self.merges.specials[m[0].decode()])
+                at = m.end()
+            pieces.append(data[at:b])
+            after.append(-1)
+            last.append(len(pieces))
+        cuts = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
+        ids, ends = self._plain(b"".join(pieces), cuts)
+        after = np.array(after, np.int32)
+        put = after >= 0
+        ends_after = ends + np.concatenate([[0], np.cumsum(put)])
+        return np.insert(ids, ends[1:][put], after[put]), ends_after[np.array([0, *last])]
 
     def decode(self, ids: np.ndarray) -> bytes:
         m = self.merges
@@ -248,6 +256,8 @@ def _counted(batches):
         for _, data, bounds in _spans(batch.column(0)):
             t = PreTokens(*_rows(data, bounds), True)
             _, first, n = np.unique(t.hash, return_index=True, return_counts=True)
+            short = t.end[first] - t.start[first] <= LONGEST
+            first, n = first[short], n[short]
             for i, c in zip(first.tolist(), n.tolist(), strict=True):
                 word = t.text(i)
                 held[word] = held.get(word, 0) + c
@@ -262,9 +272,25 @@ def _word_rows(held: dict[str, int]) -> pa.RecordBatch:
 
 
 def frequent_words(docs: DataFrame, most: int) -> list[str]:
-    """The most frequent pre-tokens over all texts; ties go to the smaller word."""
-    counts = docs.select("text").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+    """Frequent pre-tokens by their counts over all texts: as many as there are above a count, `most` at most.
+
+    A histogram of the counts, of some hundred rows, tells the count; so the driver gets the words of the lexicon alone,
+    whatever the size of the corpus. Words that occur once or are longer than LONGEST are left to the merges.
+    """
+    if most <= 0:
+        return []
+    scratch = Scratch(docs.sparkSession, "words")
+    counts = docs.select("text").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = scratch.write(counts.withColumn("step", F.floor(F.log2("n") * STEPS).cast("int")), "counts")
+    steps = sorted(((r.step, r.words) for r in counts.groupBy("step").agg(F.count("*").alias("words")).collect()), reverse=True)
+    total, least = 0, None
+    for step, words in steps:
+        if (total := total + words) > most:
+            break
+        least = step
+    out = [] if least is None else [r.word for r in counts.where(F.col("step") >= least).select("word").toLocalIterator()]
+    scratch.drop(counts)
+    return sorted(out)
 
 
 def compile_lexicon(words: list[str], path: str) -> bytes:
@@ -321,7 +347,7 @@ def bpe_round_trip(docs: DataFrame, path: str, digest: bool = False, lexicon: in
     fields = ", ".join(f"{c} {plain.schema[c].dataType.simpleString()}" for c in plain.columns)
     ids = "string" if digest else "array<int>"
     out = plain.mapInArrow(_encoded_of(path, compiled, docs.columns.index("text"), digest), f"{fields}, n long, ids {ids}, text string")
-    return out.toDF(*docs.columns, "_n_tokens", "_ids", "_decoded")
+    return out.toDF(*docs.columns, *free_names(docs.columns, ["_n_tokens", "_ids", "_decoded"]))
 
 
 def default_path() -> str:
