@@ -9,11 +9,17 @@ A word that no item has resets the automaton, and a pair of words that no item h
 word. Both are told by hashes for whole batches, so only the runs between, which hold all matches of two words or
 more, are walked, by the words themselves: hashes decide nothing but where not to look.
 
-The items are taken in blocks of at most ITEM_WORDS words, each with an automaton of its own, which bounds what is
-broadcast at a time whatever the size of the benchmark; a document is then walked once for each block.
+Two limits decide what is removed: a match of the length `window` takes its words, and a document of which more than a
+share `coverage` of all words is hit loses its whole text, as little but copied passages would stay.
+
+The items are taken in blocks of at most ITEM_WORDS words, each with an automaton of its own; an item of more is cut
+into pieces that overlap by a word less than a window, which hold all its windows. A document is walked once for each
+block. Every PASSES blocks the rows are written and the blocks' broadcasts dropped, which bounds what a worker holds
+whatever the size of the benchmark.
 
 Cases: null and empty texts have no words and no hits. An item without words never occurs; equal items are hit
-together. Repeated rows are judged alike. An empty benchmark hits nothing. Other columns of docs pass through.
+together. An item with a null item_id hits words but is not listed. Repeated rows are judged alike. An empty benchmark
+hits nothing. Other columns of docs pass through; a name that is added gets another underscore if docs has it.
 """
 
 from __future__ import annotations
@@ -25,9 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.samples import free_names
 from kindred.llm.words import ALNUM, mix, poly, sliced
+from kindred.plans.storage import Scratch
 
 WINDOW, ITEM_WORDS = 10, 200_000
+#: Share of hit words beyond which a document counts as copied, and blocks that a worker holds at a time.
+COVERAGE, PASSES = 0.8, 4
 _PAIR = 0xD6E8FEB86659FD93
 
 
@@ -187,7 +197,7 @@ def _among(h: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h
 
 
-def _hits_of(matcher, columns: int, text_at: int, first: bool, last: bool, with_clean: bool):
+def _hits_of(matcher, columns: int, text_at: int, first: bool, last: bool, with_clean: bool, coverage: float):
     """A pass over rows with one block's matcher; all passes but the last hand on what is hit (runs of words) and items."""
 
     def run(batches):
@@ -208,7 +218,7 @@ def _hits_of(matcher, columns: int, text_at: int, first: bool, last: bool, with_
                         covered[a + at] += 1
                         covered[a + at + size] -= 1
                     if items:
-                        found[int(np.searchsorted(w.first, a, "right")) - 1] |= set(map(str, items))
+                        found[int(np.searchsorted(w.first, a, "right")) - 1] |= {str(x) for x in items if x is not None}
                 gone = np.cumsum(covered)[:-1] > 0
                 counts = np.concatenate([[0], np.cumsum(gone)])[w.first]
                 n_words += np.diff(w.first).tolist()
@@ -218,7 +228,8 @@ def _hits_of(matcher, columns: int, text_at: int, first: bool, last: bool, with_
                     hits_out += [_runs(w, gone, r).astype(np.int32).tobytes() for r in range(hi - lo)]
                 elif with_clean:
                     texts = batch.column(text_at).slice(lo, hi - lo).to_pylist()
-                    clean += [_without(t, _spans(w, gone, r) if counts[r + 1] > counts[r] else []) for r, t in enumerate(texts)]
+                    share = np.diff(counts) / np.maximum(1, np.diff(w.first))
+                    clean += ["" if share[r] > coverage else _without(t, _spans(w, gone, r) if counts[r + 1] > counts[r] else []) for r, t in enumerate(texts)]
             items = pa.array(items_out, pa.list_(pa.string()))
             if last:
                 extra = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), items, *[pa.array(clean, pa.string())] * with_clean]
@@ -250,34 +261,65 @@ def _without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return b"".join([*out, raw[at:]]).decode()
 
 
+def pieces(text: str, window: int, most: int) -> Iterator[str]:
+    """The text, or if it has more words, parts of `most` words that overlap by a word less than a window."""
+    most = max(most, window)
+    if len(text) < 2 * most:  # too short for so many words
+        yield text
+        return
+    for _, _, w in sliced(pa.array([text], pa.string()), ALNUM, True, len(text.encode()) + 1):
+        n, raw = len(w.start), w.data.tobytes()
+        if n <= most:
+            yield text
+            return
+        for a in range(0, n - window + 1, most - window + 1):
+            yield raw[w.start[a] : w.end[min(n, a + most) - 1]].decode()
+
+
 def matchers_of(items: DataFrame, window: int) -> Iterator[Matcher]:
     """Matchers of blocks of items; the driver holds one block's texts at a time and yields its matcher."""
     block, size = [], 0
     for r in items.where("text is not null").orderBy("item_id", "text").select("item_id", "text").toLocalIterator():
-        block.append((r.item_id, r.text))
-        size += len(r.text) // 4
-        if size >= ITEM_WORDS:
-            yield Matcher(block, window)
-            block, size = [], 0
+        for piece in pieces(r.text, window, ITEM_WORDS):
+            block.append((r.item_id, piece))
+            size += len(piece) // 4
+            if size >= ITEM_WORDS:
+                yield Matcher(block, window)
+                block, size = [], 0
     if block:
         yield Matcher(block, window)
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, clean: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, clean: bool = False, coverage: float = COVERAGE) -> DataFrame:
     """docs with _n_words, _n_hit, _items (sorted as strings) and, if asked for, _clean: the text without hit words.
 
-    Each block of ITEM_WORDS words of items is a pass of its own, on the rows that the pass before hands on.
+    Each block of items is a pass of its own, on the rows that the pass before hands on.
     """
-    n, text_at = len(docs.columns), docs.columns.index("text")
+    spark, n, text_at = docs.sparkSession, len(docs.columns), docs.columns.index("text")
     now = docs.toDF(*(f"c{i}" for i in range(n)))
     fields = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(now.schema)]
     kinds = ["long", "long", "array<string>", *["string"] * clean], ["binary", "array<string>"]
-    blocks = [docs.sparkSession.sparkContext.broadcast(m) for m in matchers_of(items, window)] or [None]
-    for i, matcher in enumerate(blocks):
-        last = i == len(blocks) - 1
+    scratch, held, written = Scratch(spark, "hits"), [], []
+    matchers = matchers_of(items, window)
+    matcher, i = next(matchers, None), 0
+    while True:
+        after = next(matchers, None)
+        last = after is None
+        shared = spark.sparkContext.broadcast(matcher) if matcher else None
         schema = ", ".join([*fields, *(f"c{n + j} {k}" for j, k in enumerate(kinds[not last]))])
-        now = now.mapInArrow(_hits_of(matcher, n, text_at, i == 0, last, clean), schema)
-    return now.toDF(*docs.columns, "_n_words", "_n_hit", "_items", *["_clean"] * clean)
+        now = now.mapInArrow(_hits_of(shared, n, text_at, i == 0, last, clean, coverage), schema)
+        held.append(shared)
+        if last:
+            break
+        matcher, i = after, i + 1
+        if len(held) == PASSES:
+            written.append(now := scratch.write(now, "rows"))
+            for x in held:
+                x.unpersist()
+            held = []
+            if len(written) > 1:
+                scratch.drop(written.pop(0))
+    return now.toDF(*docs.columns, *free_names(docs.columns, ["_n_words", "_n_hit", "_items", *["_clean"] * clean]))
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -291,4 +333,5 @@ def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
         F.size("_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
         (F.col("_n_hit") > 0).alias("contaminated"),
+        (F.col("_n_hit") > COVERAGE * F.col("_n_words")).alias("copied"),
     )

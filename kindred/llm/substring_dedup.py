@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.filters import MOST_ONCE, SCHEMA, bits_for, build, has, packed
+from kindred.llm.samples import free_names
 from kindred.llm.words import SPACED, buffers, sliced
 
 #: Bits of a filter for each block.
@@ -209,7 +210,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, digest: bool = False) ->
     joined = plain.withColumn("_id", F.col(f"c{docs.columns.index('doc_id')}").cast("long")).join(by_doc, "_id", "left").select(*plain.columns, "_id", "_first")
     fields = ", ".join(f"{c} {plain.schema[c].dataType.simpleString()}" for c in plain.columns)
     out = joined.mapInArrow(_kept_of(block, window, filters, n, docs.columns.index("text"), digest), f"{fields}, n_words long, n_removed long, kept string")
-    return out.toDF(*docs.columns, "_n_words", "_n_removed", "_kept")
+    return out.toDF(*docs.columns, *free_names(docs.columns, ["_n_words", "_n_removed", "_kept"]))
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
