@@ -5,6 +5,7 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -119,12 +120,19 @@ def test_contamination(spark, docs, empty, monkeypatch):
                     hit[p : p + n] = [True] * n
                     found |= s
         want[i] = len(w), sum(hit), sorted(found)
-    for block in (200_000, 8):
+    for block, passes in ((200_000, 4), (12, 4), (12, 1)):
         monkeypatch.setattr(decontaminate, "ITEM_WORDS", block)
+        monkeypatch.setattr(decontaminate, "PASSES", passes)
         out = decontaminate.contamination(docs, table, clean=True)
         got = {r[0]: (tuple(r)[5:8], r[8]) for r in out.collect()}
         assert {i: (a, b, c) for i, ((a, b, c), _) in got.items() if i is not None} == want and sum(v[1] > 0 for v in want.values()) > 3
         assert all(c == texts[i] for i, ((_, n, _), c) in got.items() if i is not None and not n)
+    # one word more than the share that is hit, and a null item: its words are hit, but it is not listed
+    few = spark.createDataFrame([(0, texts[3]), (1, " ".join(texts[3].split()[5:30]) + " x")], "doc_id long, text string")
+    unnamed = table.where("item_id = 1").selectExpr("cast(null as long) as item_id", "text")
+    got = {r.doc_id: r for r in decontaminate.contamination(few, unnamed, clean=True, coverage=0.9).collect()}
+    assert got[1]._clean == "" and got[0]._clean and got[0]._n_hit == got[1]._n_hit == 25 and not got[0]._items
+    assert decontaminate.contamination(few, unnamed, clean=True, coverage=1.0).where("doc_id = 1").first()._clean == " x"
     assert decontaminate.contamination(empty, table).count() == 0
     assert decontaminate.contamination(docs, table.where("false")).where("_n_hit > 0").count() == 0
 
@@ -136,6 +144,7 @@ def test_byte_bpe_and_its_transducer(spark, docs, empty):
     letters = [*"ab stremvlld'''  \n\t,.12#éßİΣ中½", "<|endoftext|>", "the ", " theaa"]
     rows = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(40))) for _ in range(400)] + ["a" * 3000, "", None]
     table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert bpe.frequent_words(table, 10**6) and len(bpe.frequent_words(table, 20)) <= 20
     for lexicon in (0, 50):
         for r in bpe.bpe_round_trip(table, path, lexicon=lexicon).collect():
             want = t.encode(rows[r.doc_id] or "", add_special_tokens=False).ids
@@ -178,7 +187,7 @@ def test_chat_format_reads_back(spark):
     assert chat_format.format_chats(table.where("false")).count() == 0
 
 
-def test_shards(docs, empty):
+def test_shards(spark, docs, empty):
     out = sharding.write_shards(docs, 4, 7)
     rows = out.select("doc_id", "text", "_shard", "_slot").collect()
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in rows) == sorted([(-1, "no id at all"), *((i, t or "") for i, t in _texts())])
@@ -187,6 +196,30 @@ def test_shards(docs, empty):
     grown = docs.select("doc_id", sharding.shard_of(F.col("doc_id"), 4, 7).alias("a"), sharding.shard_of(F.col("doc_id"), 5, 7).alias("b")).collect()
     assert all(r.a == r.b or r.b == 4 for r in grown)
     assert sharding.write_shards(empty).count() == 0
+    # the seed alone fixes the order; names that the input has are given another underscore; ids may be strings
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.lit(1).alias("_shard"))
+    orders = []
+    for n in (4, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        out = sharding.write_shards(named.repartition(n), 4, 7)
+        assert out.columns == ["doc_id", "text", "_shard", "__shard", "_bucket", "_slot"]
+        orders.append(sorted((r[3], r[5], r[0] or "", r[1] or "") for r in out.collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert orders[0] == orders[1] and any(a[2] > b[2] for a, b in zip(orders[0], orders[0][1:]) if a[0] == b[0])
+
+
+def test_fisher_yates_is_fair(spark):
+    out = spark.range(6000).select(sharding._fisher_yates(F.lit(3), F.lit(9), F.col("id")).alias("p")).groupBy("p").count().collect()
+    assert len(out) == 6 and all(850 < r["count"] < 1150 for r in out)
+
+
+def test_hot_ids_do_not_swell_the_samples(spark):
+    from kindred.llm import samples
+
+    docs = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.lit(0).alias("y"), F.col("id").cast("string").alias("text"))
+    ids = samples.at_most(docs.select("doc_id", "y"), 50, 2)
+    assert ids.count() == ids.distinct().count() == 50
+    assert samples.texts_of(docs, spark.createDataFrame([(7, 0), (8, 0)], "doc_id long, y int")).count() == 2
 
 
 def test_line_rules(spark, docs, empty):
@@ -194,15 +227,20 @@ def test_line_rules(spark, docs, empty):
         w = (t or "").encode().split()
         lines = [x for x in (t or "").split("\n") if x.encode().split()]
         keys = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-        again = {p for i, k in enumerate(keys) if keys.count(k) > 1 for p in (i, i + 1, i + 2)}
+        count = Counter(keys)
+        again = {p for i, k in enumerate(keys) if count[k] > 1 for p in (i, i + 1, i + 2)}
         return len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(again)
 
-    names = ["_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words"]
-    plain = docs.select("doc_id", "text").where("doc_id <> 11")
-    for r in quality_rules.line_first_cleaning(plain).select("text", *names).collect():
-        assert tuple(r)[1:] == measures(r.text)
+    # docs has columns of the names that are added (_n_words) or used on the way; they pass through by position
+    clashing = docs.withColumnRenamed("c0", "words").withColumnRenamed("n", "row")
+    out = quality_rules.line_first_cleaning(clashing)
+    assert out.columns[:5] == clashing.columns and out.columns[5:10] == ["__n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words"]
+    rows = out.collect()
+    assert len(rows) == len(_texts()) + 1 and sum(r[9] > 0 for r in rows) > 2
+    for r in rows:
+        assert tuple(r)[5:10] == measures(r[1]) and (r[0] is None or tuple(r)[2:5] == ("a", "b", "c"))
     line = lambda x: spark.range(1).select(quality_rules.line_fails(F.lit(x)).alias("x")).first().x
-    assert [line(x) for x in ("A fine line.", "Home | About | Contact", "Read our Privacy Policy now.", "--- !!", "a " * 12, "a#% b#% c.")] == [False, True, True, True, True, True]
+    assert [line(x) for x in ("A fine line.", "Home | About | Contact", "Read our Privacy Policy now.", "--- !!", "a " * 12, "a#% b#% c.", "Read our blog in peace.", "To log in, wait.")] == [False, True, True, True, True, True, False, True]
     assert quality_rules.line_first_cleaning(empty.select("doc_id", "text")).count() == 0
 
 
