@@ -3,7 +3,7 @@
 toxicity      documents that the classifier calls toxic (a score of THRESHOLD or more, as in op1_toxicity) go
 near_copies   of each group of near duplicates (five-word shingles, similarity 0.8) the row of the smallest doc_id stays
 substrings    words in passages of PASSAGE words that start earlier in the corpus are taken out of the texts
-benchmark     words in matches with benchmark items are taken out of the texts
+benchmark     words in matches with benchmark items are taken out of the texts, and the whole text where they are most of it
 encode        every text is encoded by byte-level BPE and decoded again
 
 All stages but the last return the columns of documents; where a text changes, n_chars follows it. Each row is a document,
@@ -28,12 +28,21 @@ PASSAGE = 20
 SHINGLE, SIMILAR = 5, (80, 100)
 
 
-def _with_text(docs: DataFrame, columns: list[str], changed, text) -> DataFrame:
-    """docs with another text, and n_chars of it, where a condition holds."""
-    out = docs.withColumn("text", F.when(changed, text).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+def _plain(docs: DataFrame) -> DataFrame:
+    """docs with names that clash with none an operator adds; doc_id, text and n_chars keep theirs. _as() gives all back."""
+    return docs.toDF(*(c if c in ("doc_id", "text", "n_chars") else f"c{i}" for i, c in enumerate(docs.columns)))
+
+
+def _as(out: DataFrame, docs: DataFrame) -> DataFrame:
+    return out.select(*_plain(docs).columns).toDF(*docs.columns)
+
+
+def _with_text(out: DataFrame, docs: DataFrame, changed, text) -> DataFrame:
+    """The rows with another text, and n_chars of it, where a condition holds."""
+    out = out.withColumn("_new", F.when(changed, text).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length("_new").cast("long")).otherwise(F.col("n_chars")))
+    return _as(out.withColumn("text", F.col("_new")), docs)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -54,25 +63,25 @@ def _unnumbered(rows: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return out.where(F.col("_score") < THRESHOLD).select(*docs.columns)
+    out = toxicity_scores(_plain(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _as(out.where(F.col("_score") < THRESHOLD), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _numbered(docs)
+    rows = _numbered(_plain(docs))
     groups = jaccard_components(rows, SHINGLE, *SIMILAR)
     gone = groups.where("component_id <> doc_id").select("doc_id")
-    return _unnumbered(rows.join(gone, "doc_id", "left_anti")).select(*docs.columns)
+    return _as(_unnumbered(rows.join(gone, "doc_id", "left_anti")), docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = _unnumbered(substring_dedup(_numbered(docs), PASSAGE))
-    return _with_text(out, docs.columns, F.col("_n_removed") > 0, F.col("_kept"))
+    out = _unnumbered(substring_dedup(_numbered(_plain(docs)), PASSAGE))
+    return _with_text(out, docs, F.col("_n_removed") > 0, F.col("_kept"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), clean=True)
-    return _with_text(out, docs.columns, F.col("_n_hit") > 0, F.col("_clean"))
+    out = contamination(_plain(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), clean=True)
+    return _with_text(out, docs, F.col("_n_hit") > 0, F.col("_clean"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
