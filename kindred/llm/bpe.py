@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.memory import WordMemory
 from kindred.llm.pretokens import PreTokens, _rows, gather
 from kindred.llm.samples import free_names
 from kindred.llm.transducer import Lexicon, compile_words
@@ -31,9 +32,9 @@ from kindred.llm.words import buffers
 from kindred.plans.storage import Scratch
 
 LEXICON = 1 << 16
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Words in a worker's memory, and bytes of a word that is merged among others.
-MEMORY, SHORT = 1_000_000, 32
+MEMORY, SHORT = 500_000, 32
 _NONE = np.int64(1 << 40)
 #: Code points of the longest word in the lexicon, and steps in which counts are told apart for each doubling.
 LONGEST, STEPS = 64, 16
@@ -161,11 +162,7 @@ def merges(path: str) -> Merges:
 class Coder:
     def __init__(self, path: str, compiled: bytes):
         self.merges, self.lexicon = merges(path), Lexicon(compiled)
-        self.forget()
-
-    def forget(self):
-        self.seen: dict[int, int] = {}
-        self.store, self.begins, self.sizes, self.used = np.zeros(1 << 20, np.int32), [], [], 0
+        self.memory = WordMemory(MEMORY)
 
     def encode(self, data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and the rows' bounds in them."""
@@ -184,35 +181,21 @@ class Coder:
         start, end = heads[t.start[first]], heads[t.end[first]]
         rank = self.lexicon.ranks(raw, start, end)
         lack = np.flatnonzero(rank < 0)
-        place = self._recall(h[lack], raw, start[lack], end[lack])
+        place = self.memory.numbers(h[lack], lambda new: self._merged(raw, start[lack[new]], end[lack[new]]))
         size, begin = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
         have = rank >= 0
         size[have], begin[have] = self.lexicon.lengths[rank[have]], self.lexicon.begins[rank[have]]
         known = len(self.lexicon.ids)
-        size[lack], begin[lack] = np.array(self.sizes, np.int64)[place], np.array(self.begins, np.int64)[place] + known
+        size[lack], begin[lack] = self.memory.sizes[place], self.memory.begins[place].astype(np.int64) + known
         each = size[to]
-        ids = gather(each, begin[to], np.concatenate([self.lexicon.ids, self.store[: self.used]]))
+        ids = gather(each, begin[to], np.concatenate([self.lexicon.ids, self.memory.store[: self.memory.used]]))
         ends = np.concatenate([[0], np.cumsum(each)])
         return ids, ends[t.first]
 
-    def _recall(self, h, raw, start, end) -> np.ndarray:
-        """Where the ids of words outside the lexicon are; new ones are merged and remembered."""
-        if len(self.seen) > MEMORY:
-            self.forget()
-        place = [self.seen.get(x, -1) for x in h.tolist()]
-        new = [i for i, p in enumerate(place) if p < 0]
-        if new:
-            found = self.merges.merge_many(raw, start[new], end[new])
-            flat = np.concatenate(found)
-            while self.used + len(flat) > len(self.store):
-                self.store = np.concatenate([self.store, np.zeros_like(self.store)])
-            self.store[self.used : self.used + len(flat)] = flat
-            for i, x in zip(new, found, strict=True):
-                place[i] = self.seen[int(h[i])] = len(self.sizes)
-                self.begins.append(self.used)
-                self.sizes.append(len(x))
-                self.used += len(x)
-        return np.array(place, np.int64)
+    def _merged(self, raw, start, end) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and numbers of ids of words outside the lexicon that the worker hasn't met."""
+        found = self.merges.merge_many(raw, start, end)
+        return np.concatenate(found), np.array([len(x) for x in found], np.int32)
 
     def _with_specials(self, data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pieces between special tokens are encoded as rows, and the tokens' ids put after them."""

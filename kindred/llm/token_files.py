@@ -28,14 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.bpe import _spans, byte_letters
+from kindred.llm.memory import WordMemory
 from kindred.llm.pretokens import PreTokens, gather, normal_rows
 from kindred.plans.storage import Scratch
 
 BLOCK, PERCENTILE = 1024, 90
 #: Bytes of text for each range of documents that a task writes, and ids after which it starts the next file.
 RANGE_BYTES, FILE_IDS = 16 << 20, 1 << 18
-#: Words in a worker's memory, and new ones before they are merged into it.
-MEMORY, RECENT = 2_000_000, 200_000
+#: Words in a worker's memory.
+MEMORY = 2_000_000
 _MAGIC = b"KTF1"
 _HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("size", "u1"), ("n", "<u2")])
 
@@ -132,27 +133,11 @@ class WordCoder:
             letters[b] = ord(letter)
         self.letters = letters
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.forget()
-
-    def forget(self):
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.main, self.recent = none, none  # sorted hashes of words, and their numbers
-        self.store, self.used, self.words = np.zeros(1 << 20, np.int32), 0, 0
-        self.begins, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """The numbers of sorted hashes, -1 for those not seen."""
-        out = np.full(len(h), -1, np.int64)
-        for keys, numbers in (self.main, self.recent):
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = keys[at] == h
-                out[hit] = numbers[at[hit]]
-        return out
-
-    def _learn(self, h: np.ndarray, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Numbers of new words, whose ids the library gives; words stand apart, so each is one pre-token."""
-        many, n = len(h), end - start
+        self.memory = WordMemory(MEMORY)
+
+    def _ids_of(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and numbers of ids of words codes[start:end], as the library's model gives them."""
+        n = end - start
         # the model takes a pre-token as the letters that stand for its bytes
         raw = gather(n, start, codes).astype("<u4").tobytes().decode("utf-32-le")
         heads = np.concatenate([[0], np.cumsum(n)])
@@ -161,21 +146,7 @@ class WordCoder:
             heads = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[heads]
         text, ends, tokenize = self.letters[data].tobytes().decode("utf-32-le"), heads.tolist(), self.model.tokenize
         found = [[t.id for t in tokenize(text[a:b])] for a, b in zip(ends, ends[1:])]
-        sizes = np.array([len(x) for x in found], np.int32)
-        ids, k = np.array([i for x in found for i in x], np.int32), self.words
-        while self.used + len(ids) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
-        while k + many > len(self.sizes):
-            self.sizes, self.begins = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.begins))
-        self.store[self.used : self.used + len(ids)] = ids
-        self.sizes[k : k + many] = sizes
-        self.begins[k : k + many] = self.used + np.cumsum(sizes) - sizes
-        self.used, self.words = self.used + len(ids), k + many
-        numbers = np.arange(k, k + many, dtype=np.int32)
-        self.recent = _joined(self.recent, (h, numbers))
-        if len(self.recent[0]) > RECENT:
-            self.main, self.recent = _joined(self.main, self.recent), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
-        return numbers
+        return np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int32)
 
     def encode(self, data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and the rows' bounds in them."""
@@ -185,22 +156,10 @@ class WordCoder:
         t = PreTokens(*normal_rows(data, bounds), False)
         if not len(t.start):
             return np.zeros(0, np.int32), np.zeros(len(bounds), np.int64)
-        if self.words > MEMORY:
-            self.forget()
         h, first, to = np.unique(t.hash, return_index=True, return_inverse=True)
-        place = self._find(h)
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            place[new] = self._learn(h[new], t.codes, t.start[first[new]], t.end[first[new]])
-        at = place[to]
-        each = self.sizes[at].astype(np.int64)
-        return gather(each, self.begins[at].astype(np.int64), self.store), np.concatenate([[0], np.cumsum(each)])[t.first]
-
-
-def _joined(a, b):
-    keys = np.concatenate([a[0], b[0]])
-    order = np.argsort(keys, kind="stable")
-    return keys[order], np.concatenate([a[1], b[1]])[order]
+        at = self.memory.numbers(h, lambda new: self._ids_of(t.codes, t.start[first[new]], t.end[first[new]]))[to]
+        each = self.memory.sizes[at].astype(np.int64)
+        return gather(each, self.memory.begins[at].astype(np.int64), self.memory.store), np.concatenate([[0], np.cumsum(each)])[t.first]
 
 
 _coders: dict[str, WordCoder] = {}
