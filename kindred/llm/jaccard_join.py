@@ -171,30 +171,11 @@ def _chains_of(num: int, den: int):
     return run
 
 
-def _wanted_of(wanted):
-    """Rows whose doc_id may be wanted, so that the join after moves few texts."""
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0)
-            known = ids.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(known & has(wanted.value, mix(ids.fill_null(0).to_numpy().view(np.uint64)))))
-
-    return run
-
-
 def _ids(batches):
     for batch in batches:
         yield packed(mix(batch.column(0).to_numpy().view(np.uint64)))
 
 
-def texts_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of docs whose doc_id is among ids (and of some more)."""
-    bits = bits_for(ids.count(), BITS_EACH, MOST_ONCE)
-    wanted = docs.sparkSession.sparkContext.broadcast(build(ids.mapInArrow(_ids, SCHEMA), bits, once=True, again=False)[0])
-    return docs.mapInArrow(_wanted_of(wanted), "doc_id long, text string")
-
-
 class _Node:
     __slots__ = ("edge", "children", "docs", "least", "most")
 
@@ -293,20 +274,32 @@ def join_block(sides, docs, roots, sets, num: int, den: int) -> list[tuple[int,
 _KEYS = 3
 
 
-def _packed_of(k: int, order):
-    """(rep, keys): sets as distinct numbers that rise in the global order from its end: the level, then the hash, both falling."""
+def _packed_of(k: int, order, wanted):
+    """(rep, keys) of rows whose doc_id may be wanted, so that the join after moves few sets: distinct numbers that rise
+    in the global order from its end (the level, then the hash, both falling)."""
 
     def run(batches):
         for batch in batches:
-            keys = []
-            for _, s in shingle_sets(batch.column(1), k):
-                key = (np.uint64(3) - order.value.levels(s).astype(np.uint64)) << np.uint64(62) | ~s >> np.uint64(2)
-                keys.append(np.unique(key).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], ["rep", "keys"])
+            ids = batch.column(0)
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            few = batch.filter(pa.array(known & has(wanted.value, mix(ids.fill_null(0).to_numpy().view(np.uint64)))))
+            for lo in range(0, len(few), 1000):
+                keys = []
+                for _, s in shingle_sets(few.column(1).slice(lo, 1000), k):
+                    key = (np.uint64(3) - order.value.levels(s).astype(np.uint64)) << np.uint64(62) | ~s >> np.uint64(2)
+                    keys.append(np.unique(key).tobytes())
+                yield pa.RecordBatch.from_arrays([few.column(0).slice(lo, 1000), pa.array(keys, pa.binary())], ["rep", "keys"])
 
     return run
 
 
+def packed_sets(docs: DataFrame, ids: DataFrame, k: int, order) -> DataFrame:
+    """(rep, keys) of docs whose doc_id is among ids (and of some more)."""
+    bits = bits_for(ids.count(), BITS_EACH, MOST_ONCE)
+    wanted = docs.sparkSession.sparkContext.broadcast(build(ids.mapInArrow(_ids, SCHEMA), bits, once=True, again=False)[0])
+    return docs.mapInArrow(_packed_of(k, order, wanted), "rep long, keys binary")
+
+
 def _joined_of(num: int, den: int):
     """Rows (comp, i, j, side, rep, root, keys) come sorted by comp, i and j; a task holds one pair of blocks at a time."""
 
@@ -356,7 +349,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     most = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.pow(F.lit(2), F.floor(F.log2(F.lit(BLOCK_SHINGLES) / F.col("n")))).cast("long")))
     number = F.monotonically_increasing_id()
     dealt = scratch.write(rows.withColumn("number", number).select("comp", (F.col("number") - F.pmod("number", most)).alias("blk"), "rep", "n"), "blocks")
-    few = texts_among(slim, dealt.select("rep")).mapInArrow(_packed_of(k, order), "rep long, keys binary")
+    few = packed_sets(slim, dealt.select("rep"), k, order)
     sets = scratch.write(few.join(dealt.select("comp", "blk", "rep"), "rep").select("comp", "blk", "rep", "keys"), "sets")
 
     def joined(rows):

@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     positive = at_most(known.where("y = 1"), POSITIVES, 1)
     open_ids = docs.select(F.col("doc_id").cast("long"), F.lit(0).alias("y")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, HELD_OUT))
     both = positive.union(at_most(open_ids, UNLABELLED, 2))
-    sample, spark = texts_of(docs, both).select("y", "text").repartition(8), docs.sparkSession
+    sample, spark = texts_of(docs, both).select("y", "text").coalesce(8), docs.sparkSession
     counts, seen = np.zeros((2, FEATURES), np.int64), np.zeros(2, np.int64)
     for i, r in enumerate(sample.mapInArrow(_counted, "n long, counts binary").toLocalIterator()):
         seen[i % 2] += r.n
