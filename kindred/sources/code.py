@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from kindred.config import Config
 from kindred.functions import text as T
 from kindred.operators.units import PER_DOCUMENT
+from kindred.sources.golang import go_units
 
 # Words of each language, names that are never renamed, and what ends a statement.
 JS_KEYWORDS = """async await break case catch class const continue debugger default delete do else export extends false
@@ -89,6 +90,7 @@ class Language:
     delimiters: frozenset
     marks: frozenset  # tokens that count as statements
     tokens_each: int  # to a statement, where no such token is
+    units: Callable[[str, Config], Iterator[tuple]] | None = None  # a reader of its own, in place of all the above
 
 
 def _pattern(comment: str, string: str, word: str, marks: str, number: str = _NUMBER, symbol: str = r"(?!)") -> re.Pattern:
@@ -249,6 +251,7 @@ register(
         _set(CSHARP_KEYWORDS), _set(CSHARP_KNOWN), _braced(_sharp_opening), frozenset(";}"), frozenset(";}"), 5,
     )
 )
+register(Language("go", re.compile(""), frozenset(), frozenset(), lambda tokens: iter(()), frozenset(), frozenset(), 1, go_units))
 
 
 def normalized(tokens: list[Token], language: Language, level: int) -> list[str]:
@@ -282,6 +285,9 @@ def units_of(text: str, language: Language, cfg: Config) -> Iterator[tuple]:
 
     A window's lines are counted from its function's first by statements, not by lines.
     """
+    if language.units:
+        yield from language.units(text, cfg)
+        return
     tokens, lines = lex(text, language), text.split("\n")
     for b in language.bodies(tokens):
         if any(cfg.ignore_directive in x for x in lines[max(0, b.start_line - 3) : b.start_line]):
