@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field, fields, replace
 
@@ -95,19 +96,36 @@ class Config:
         return self.with_values({k: held[n] for k, n in names.items() if n in held})
 
 
+def discover() -> str | None:
+    """The first settings file that there is: in the working directory, then in the user's."""
+    places = [".kindred.yaml", os.path.join(os.path.expanduser("~"), ".config", "kindred", "config.yaml")]
+    return next((p for p in places if os.path.exists(p)), None)
+
+
 def load(path: str | None = None) -> Config:
-    """Defaults with the flat `key: value` lines of a file, if there is one; a line that isn't one is an error."""
-    out = Config()
+    """Defaults with the settings of a file, the one discovered if none is named; without a file, the defaults.
+
+    Lines are `key: value`, `section:` with indented settings below, or `- item` of a list. A setting goes by its last
+    key, so sections only group them. A line that is none of these, and an unknown key, are errors.
+    """
+    path = path or discover()
     if path is None or not os.path.exists(path):
-        return out
-    values = {}
+        return Config()
+    values, open_key = {}, None
     with open(path, encoding="utf-8") as f:
         for n, line in enumerate(f, 1):
-            line = line.split("#", 1)[0].strip()
-            if not line:
+            line = re.sub(r"(^|\s)#.*", "", line).strip()
+            if not line or line == "---":
+                continue
+            if line.startswith("- ") and open_key:
+                values.setdefault(open_key, []).append(line[2:].strip().strip("'\""))
                 continue
-            key, sep, value = line.partition(":")
+            key, sep, value = (x.strip() for x in line.partition(":"))
             if not sep:
                 raise ValueError(f"{path}:{n}: not a setting")
-            values[key.strip()] = value.strip().strip("'\"")
-    return out.with_values(values)
+            open_key = None if value else key
+            if value.startswith("["):
+                values[key] = [x.strip().strip("'\"") for x in value.strip("[]").split(",") if x.strip()]
+            elif value:
+                values[key] = value.strip("'\"")
+    return Config().with_values(values)

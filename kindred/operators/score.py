@@ -16,6 +16,9 @@ HINT_CODES = {"extract_helper": "EH", "generic_func": "GF", "table_driven": "TD"
 def class_totals(members: DataFrame, units: DataFrame, files: DataFrame) -> DataFrame:
     """A row for each class: regions, kind, totals, directories and flags."""
     flags = files.select("file", "is_test", "is_generated")
+    if "root" in files.columns:  # of equal paths under several roots the last root's file counts
+        last = F.max_by(F.struct("is_test", "is_generated"), "root").alias("f")
+        flags = files.groupBy("file").agg(last).select("file", "f.is_test", "f.is_generated")
     rows = members.join(units, "unit_idx").join(flags, "file", "left")
     region = F.struct("file", "start_line", "end_line", "func_name", "unit_idx")
     each = rows.groupBy("class_id").agg(

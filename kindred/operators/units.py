@@ -12,6 +12,12 @@ from kindred.functions import text as T
 PER_DOCUMENT = 1 << 20
 
 
+def numbered(document: Column, ordinal: Column) -> Column:
+    """A unit's number; what has no number of its own within a long is an error, not another unit's number."""
+    fits = (ordinal < PER_DOCUMENT) & (F.abs(document) < 1 << 43)
+    return F.when(fits, document * PER_DOCUMENT + ordinal).otherwise(F.raise_error(F.lit("units of a document, or its number, exceed the range of unit numbers")))
+
+
 def prose_files(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(doc_id, file, language, dir, text, is_test, is_generated). Labels stand in for the flags of source files."""
     file = F.concat_ws("", "source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit("."), "lang")
@@ -45,7 +51,7 @@ def prose_units(files: DataFrame, cfg: Config) -> DataFrame:
 
     runs = F.when((F.col("n") >= cfg.window_min_function) & (F.col("n") >= w), F.transform(F.sequence(F.lit(1), F.col("n") - (w - 1)), window))
     units = held.select("doc_id", "file", "dir", F.explode(F.concat(F.array(whole), F.coalesce(runs, F.array().cast(_WINDOWS)))).alias("u"))
-    out = units.select((F.col("doc_id") * PER_DOCUMENT + F.col("u.ordinal")).alias("unit_idx"), "file", "dir", F.lit("body").alias("func_name"), "u.kind", "u.start_line", "u.end_line", "u.stmt_count", "u.tokens")
+    out = units.select(numbered(F.col("doc_id"), F.col("u.ordinal")).alias("unit_idx"), "file", "dir", F.lit("body").alias("func_name"), "u.kind", "u.start_line", "u.end_line", "u.stmt_count", "u.tokens")
     out = out.withColumns({"n_tokens": F.size("tokens"), "token_hash": T.token_hash(F.col("tokens"))})
     return out.where((F.col("kind") == "function") | (F.col("n_tokens") >= cfg.min_window_tokens))
 

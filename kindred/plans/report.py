@@ -9,11 +9,11 @@ from kindred.plans.engine import ScanResult
 from kindred.plans.session import Session
 
 
-def text_report(result: ScanResult, most: int = 100) -> str:
-    """Counts, and the best visible findings with their regions, first hint and penalties."""
+def text_report(result: ScanResult, most: int = 0) -> str:
+    """Counts, and the visible findings, best first, with their regions, first hint and penalties. most: 0 for all."""
     s, n = Session(result), result.summary().first()
     lines = [f"{n.files} files, {n.functions} functions, {n.units} units, {n.visible} clones"]
-    for i, f in enumerate(s.list_findings(limit=most).collect(), 1):
+    for i, f in enumerate(s.list_findings(limit=most).toLocalIterator(), 1):
         lines.append(f"{i}. [{f.composite:.2f}] {TYPE_CODES[f.type]} {f.id} similarity {f.similarity:.2f}")
         lines += [f"   {r.file}:{r.start_line}-{r.end_line} {r.func_name}" for r in f.regions]
         if f.hint:

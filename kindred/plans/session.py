@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.functions import text as T
 from kindred.operators import score
 from kindred.plans.engine import ScanResult
 
@@ -15,9 +16,10 @@ class Session:
         self.findings = result.findings.withColumn("id", F.concat(F.lit("F-"), F.substring("finding_id", 1, 10)))
 
     def list_findings(self, min_score: float = 0.0, offset: int = 0, limit: int = 20) -> DataFrame:
-        """A page of the visible findings, best first."""
+        """A page of the visible findings, best first. limit: 0 for all."""
         shown = self.findings.where(~F.col("suppressed") & (F.col("composite") >= min_score))
-        return shown.orderBy(F.desc("composite"), "finding_id").offset(offset).limit(limit)
+        page = shown.orderBy(F.desc("composite"), "finding_id").offset(offset)
+        return page.limit(limit) if limit else page
 
     def remaining(self, min_score: float = 0.0, offset: int = 0, limit: int = 20) -> int:
         """How many visible findings come after the page."""
@@ -53,3 +55,20 @@ def common_prefix(paths: DataFrame, column: str) -> DataFrame:
     ends = paths.agg(F.min(column).alias("a"), F.max(column).alias("b"))
     size = F.array_max(F.filter(F.sequence(F.lit(0), F.length("a")), lambda i: F.substring("a", F.lit(1), i) == F.substring("b", F.lit(1), i)))
     return ends.select(F.substring("a", F.lit(1), size).alias("prefix"))
+
+
+def common_directory(paths: DataFrame, column: str) -> DataFrame:
+    """The longest directory that all paths are below, with a slash at its end; empty if there is none.
+
+    Directories are compared by their components. What all sorted values share, the smallest and the largest share.
+    """
+    ends = paths.select(F.concat(T.directory(F.col(column)), F.lit("/")).alias("d")).agg(F.min("d").alias("a"), F.max("d").alias("b"))
+    parts = ends.withColumns({"x": F.split("a", "/"), "y": F.split("b", "/")})
+    differ = F.array_position(F.zip_with("x", "y", lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False))
+    same = F.when(differ > 0, F.array_join(F.transform(F.slice("x", F.lit(1), (differ - 1).cast("int")), lambda p: F.concat(p, F.lit("/"))), "")).otherwise(F.col("a"))
+    return parts.select(F.when(same == "./", "").otherwise(F.coalesce(same, F.lit(""))).alias("directory"))
+
+
+def stripped(path: Column, prefix: str) -> Column:
+    """The path without the prefix, if it begins with it."""
+    return F.when(F.startswith(path, F.lit(prefix)), F.substring(path, len(prefix) + 1, 1 << 30)).otherwise(path)

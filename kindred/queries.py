@@ -417,3 +417,32 @@ def common_prefix(spark, d):
     from kindred.plans.session import common_prefix as of
 
     return of(spark.read.parquet(f"{d}/pages.parquet"), "url")
+
+
+@query(
+    "WITH d AS (SELECT (CASE WHEN instr(url, '/') > 0 THEN regexp_extract(url, '^(.*)/[^/]*$', 1) ELSE '.' END) || '/' AS d FROM pages), e AS (SELECT min(d) AS a, max(d) AS b FROM d), "
+    "n AS (SELECT a, b, list_max(list_filter(range(0, length(a) + 1), lambda i: left(a, i) = left(b, i) AND (i = 0 OR right(left(a, i), 1) = '/'))) AS n FROM e) "
+    "SELECT CASE WHEN left(a, n) = './' THEN '' ELSE coalesce(left(a, n), '') END AS directory FROM n"
+)
+def common_directory(spark, d):
+    from kindred.plans.session import common_directory as of
+
+    return of(spark.read.parquet(f"{d}/pages.parquet"), "url")
+
+
+@query(
+    r"""SELECT file, func_name, receiver, kind, start_line::INT AS start_line, end_line::INT AS end_line, stmt_count::INT AS stmt_count, len(string_split(form, ' '))::INT AS n_tokens, form, sha256(form) AS token_hash FROM (VALUES
+  ('Store.cs', 'Sum', '', 'function', 2, 9, 6, '{ var $V0 = $NUM ; foreach ( var $V1 in $V2 ) { $V0 += $V1 ; } $V3 ( $STR , $V0 ) ; return $V0 ; }'),
+  ('Store.m', 'sum', '', 'function', 2, 9, 6, '{ int $V0 = $NUM ; for ( NSNumber * $V1 in $V2 ) { $V0 += [ $V1 $V3 ] ; } NSLog ( $STR , $V0 ) ; return $V0 ; }'),
+  ('load.js', 'load', '', 'function', 1, 8, 6, '{ const $V0 = $STR ; const $V1 = await $V2 ( $V0 ) ; if ( ! $V1 . $V3 ) { throw new Error ( $STR ) ; } return $V1 . $V4 ( ) ; }'),
+  ('shop.go', 'Total', '*Shop', 'function', 4, 17, 4, '( $R * Shop ) func $FUNC ( $P0 [ ] Item , $P1 float64 ) ( $RET0 float64 , $RET1 error ) { for $V0 , $V1 := range $P0 { if $V1 . Stock == $INT { continue } $RET0 += $V1 . Price * $P1 $R . seen [ $V0 ] = true } $V2 . Printf ( $STR , $V3 ( $P0 ) ) if $RET0 < $INT { return $INT , $V4 . New ( $STR ) } return $RET0 , nil }'),
+  ('store.rb', 'find', 'self', 'function', 2, 9, 4, '( $V0 , $V1 ) $V2 = $V3 ( $STR , $V0 ) return [ ] if $V2 . $V4 $V2 . $V5 do | $V6 | $V6 . $V7 ( $V1 ) end $V2 . $V8')
+) t(file, func_name, receiver, kind, start_line, end_line, stmt_count, form)"""
+)
+def source_functions(spark, d):
+    """Normalized functions of small sources in each language; the tables play no part, the results are worked by hand."""
+    from kindred.sources.code import code_units
+    from kindred.sources.examples import example_files
+
+    units = code_units(example_files(spark), Config())
+    return units.select("file", "func_name", "receiver", "kind", "start_line", "end_line", "stmt_count", "n_tokens", F.array_join("tokens", " ").alias("form"), "token_hash")

@@ -7,7 +7,7 @@ from its text alone, so they are made in Arrow batches on the executors, with on
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from kindred.config import Config
 from kindred.functions import text as T
-from kindred.operators.units import PER_DOCUMENT
+from kindred.operators.units import numbered
+from kindred.sources.files import EXTENSIONS
 from kindred.sources.golang import go_units
 
 # Words of each language, names that are never renamed, and what ends a statement.
@@ -221,9 +222,10 @@ def _set(words: str) -> frozenset:
 LANGUAGES: dict[str, Language] = {}
 
 
-def register(language: Language) -> None:
-    """A later language of the same name takes the place of an earlier one."""
+def register(language: Language, extensions: Iterable[str] = ()) -> None:
+    """A later language of the same name takes the place of an earlier one; files of those extensions are its own."""
     LANGUAGES[language.name] = language
+    EXTENSIONS.update({x.lower(): language.name for x in extensions})
 
 
 register(
@@ -333,6 +335,6 @@ def code_units(files: DataFrame, cfg: Config) -> DataFrame:
     numbers = files.select("root", "file").withColumn("number", (F.row_number().over(order) - 1).cast("long"))
     rows = files.join(numbers, ["root", "file"]).select("number", "file", "language", "text").mapInArrow(_units_in(cfg), _SCHEMA)
     return rows.select(
-        (F.col("number") * PER_DOCUMENT + F.col("ordinal")).alias("unit_idx"), "file", T.directory(F.col("file")).alias("dir"),
-        "func_name", "kind", "start_line", "end_line", "stmt_count", "tokens", F.size("tokens").alias("n_tokens"), T.token_hash(F.col("tokens")).alias("token_hash"),
+        numbered(F.col("number"), F.col("ordinal")).alias("unit_idx"), "file", T.directory(F.col("file")).alias("dir"),
+        "func_name", "receiver", "kind", "start_line", "end_line", "stmt_count", "tokens", F.size("tokens").alias("n_tokens"), T.token_hash(F.col("tokens")).alias("token_hash"),
     )
