@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from kindred.config import Config
 from kindred.functions import text as T
 from kindred.operators.components import connected_components
+from kindred.plans.storage import Scratch
 
 _INTERVALS = "array<struct<start_line:int,unit_idx:bigint,end_line:int>>"
 
@@ -51,8 +54,31 @@ def unmatched(units: DataFrame, members: DataFrame) -> DataFrame:
     return units.join(members, "unit_idx", "left_anti")
 
 
+def _shingled_of(n: int, at: int):
+    """T.shingles() in Arrow batches. Windows of one document share most of their runs, so each run is hashed once a batch."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), 1024):
+                part, known, flat, ends = batch.slice(lo, 1024), {}, [], [0]
+                for tokens in part.column(at).to_pylist():
+                    runs = dict.fromkeys(" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1))
+                    for x in runs:
+                        if (h := known.get(x)) is None:
+                            h = known[x] = int.from_bytes(md5(x.encode()).digest()[:8], "big") >> 4
+                        flat.append(h)
+                    ends.append(len(flat))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+                has = np.diff(ends) > 0
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*batch.schema.names, "shingles"]).filter(pa.array(has))
+
+    return run
+
+
 def with_shingles(units: DataFrame, cfg: Config) -> DataFrame:
-    return T.held(units, "shingles", T.shingles(F.col("tokens"), cfg.shingle_size)).where(F.size("shingles") > 0)
+    """units that have shingles, with their distinct 60-bit hashes. In Python: as lambdas, the JVM takes about thrice as long."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema)
+    return units.mapInArrow(_shingled_of(cfg.shingle_size, units.columns.index("tokens")), f"{fields}, shingles array<bigint>")
 
 
 def _signed_of(k: int, at: int):
@@ -80,17 +106,26 @@ def signatures(shingled: DataFrame, k: int) -> DataFrame:
 
 
 def bands(shingled: DataFrame, cfg: Config) -> DataFrame:
-    """(unit_idx, file, func_name, start_line, end_line, band, bucket)."""
+    """(unit_idx, file, func_name, start_line, end_line, n_shingles, band, bucket); a bucket is a digest of its band's minima."""
     signed = signatures(shingled.select("unit_idx", "file", "func_name", "start_line", "end_line", "shingles"), cfg.hashes)
-    each = F.transform(F.sequence(F.lit(0), F.lit(cfg.bands - 1)), lambda b: F.struct(b.alias("band"), F.array_join(F.slice("sig", b * cfg.rows + 1, cfg.rows), ",").alias("bucket")))
-    return signed.select("unit_idx", "file", "func_name", "start_line", "end_line", F.explode(each).alias("x")).select("*", "x.band", "x.bucket").drop("x")
+    each = F.transform(F.sequence(F.lit(0), F.lit(cfg.bands - 1)), lambda b: F.struct(b.alias("band"), F.unhex(F.md5(F.array_join(F.slice("sig", b * cfg.rows + 1, cfg.rows), ","))).alias("bucket")))
+    return signed.select("unit_idx", "file", "func_name", "start_line", "end_line", F.size("shingles").alias("n_shingles"), F.explode(each).alias("x")).select("*", "x.band", "x.bucket").drop("x")
 
 
-def candidates(banded: DataFrame) -> DataFrame:
-    """Distinct pairs a < b that share a bucket and don't overlap within one function."""
+def candidates(banded: DataFrame, least: float = 0.0) -> DataFrame:
+    """Distinct pairs a < b that share a bucket and don't overlap within one function.
+
+    least: a similarity that pairs must be able to reach by their numbers of shingles alone. Rows without a partner in
+    their bucket are dropped before the join, and the rest is written, as both of its sides read it.
+    """
+    scratch = Scratch(banded.sparkSession, "bands")
+    banded = scratch.write(banded, "all")
+    shared = banded.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("band", "bucket")
+    banded = scratch.write(banded.join(shared, ["band", "bucket"]), "shared")
     a, b = banded.alias("a"), banded.alias("b")
     overlap = F.expr("a.file = b.file and a.func_name = b.func_name and a.start_line <= b.end_line and b.start_line <= a.end_line")
-    pairs = a.join(b, F.expr("a.band = b.band and a.bucket = b.bucket and a.unit_idx < b.unit_idx") & ~overlap)
+    near = F.least("a.n_shingles", "b.n_shingles") >= least * F.greatest("a.n_shingles", "b.n_shingles")
+    pairs = a.join(b, F.expr("a.band = b.band and a.bucket = b.bucket and a.unit_idx < b.unit_idx") & near & ~overlap)
     return pairs.select(F.col("a.unit_idx").alias("a"), F.col("b.unit_idx").alias("b")).distinct()
 
 

@@ -34,7 +34,7 @@ def find_classes(units: DataFrame, cfg: Config, scratch: Scratch) -> tuple[DataF
     exact = scratch.write(match.exact_members(units), "exact")
     left = match.unmatched(units, exact)
     shingled = scratch.write(match.with_shingles(left, cfg), "shingles")
-    pairs = scratch.write(match.verified(match.candidates(match.bands(shingled, cfg)), shingled, cfg.similarity), "pairs")
+    pairs = scratch.write(match.verified(match.candidates(match.bands(shingled, cfg), cfg.similarity), shingled, cfg.similarity), "pairs")
     near, near_members = match.near_classes(pairs, shingled)
     kind = "renamed" if cfg.level_number >= 2 else "exact"
     classes = exact.select("class_id").distinct().select("class_id", F.lit(kind).alias("type"), F.lit("exact_hash").alias("metric"), F.lit(1.0).alias("similarity"))

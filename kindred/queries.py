@@ -17,6 +17,7 @@ from kindred.operators.components import connected_components
 from kindred.operators.units import prose_files, prose_units, statements
 from kindred.plans.engine import ScanResult, analyze
 from kindred.plans.session import Session
+from kindred.plans.storage import Scratch
 from kindred.sources import files as S
 
 CFG = Config(level="light")
@@ -242,8 +243,10 @@ def unmatched_units(spark, d):
 
 
 def _shingled(spark, d) -> DataFrame:
-    u = _units(spark, d)
-    return match.with_shingles(match.unmatched(u, match.exact_members(u)), CFG)
+    """Written tables, since units and shingles are read more than once."""
+    scratch = Scratch(spark, "shingled")
+    u = scratch.write(_units(spark, d), "units")
+    return scratch.write(match.with_shingles(match.unmatched(u, scratch.write(match.exact_members(u), "exact")), CFG), "shingles")
 
 
 @query(oracle.sql("sh", "SELECT unit_idx, len(shingles)::INT AS n_shingles, list_min(shingles) AS least, list_max(shingles) AS most FROM sh"))
@@ -287,7 +290,7 @@ def overlap_exclusion(spark, d):
 @query(oracle.sql("pairs", "SELECT a, b, round(similarity, 9) AS similarity FROM pairs"))
 def verified_pairs(spark, d):
     s = _shingled(spark, d)
-    return match.verified(match.candidates(match.bands(s, CFG)), s, CFG.similarity).select("a", "b", F.round("similarity", 9).alias("similarity"))
+    return match.verified(match.candidates(match.bands(s, CFG), CFG.similarity), s, CFG.similarity).select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
 @query(
@@ -309,13 +312,13 @@ def shingle_jaccard_pairs(spark, d):
 @query(oracle.sql("comp", "SELECT node, component FROM comp"))
 def components(spark, d):
     s = _shingled(spark, d)
-    return connected_components(match.verified(match.candidates(match.bands(s, CFG)), s, CFG.similarity))
+    return connected_components(match.verified(match.candidates(match.bands(s, CFG), CFG.similarity), s, CFG.similarity))
 
 
 @query(oracle.sql("near", "SELECT class_id, count(*) AS members, any_value(similarity) AS similarity FROM near GROUP BY class_id"))
 def component_similarity(spark, d):
     s = _shingled(spark, d)
-    classes, members = match.near_classes(match.verified(match.candidates(match.bands(s, CFG)), s, CFG.similarity), s)
+    classes, members = match.near_classes(match.verified(match.candidates(match.bands(s, CFG), CFG.similarity), s, CFG.similarity), s)
     return members.groupBy("class_id").agg(F.count("*").alias("members")).join(classes, "class_id")
 
 
