@@ -76,7 +76,7 @@ def _shingled_of(n: int, at: int):
 
 
 def with_shingles(units: DataFrame, cfg: Config) -> DataFrame:
-    """units that have shingles, with their distinct 60-bit hashes. In Python: as lambdas, the JVM takes about thrice as long."""
+    """units that have shingles, with their distinct 60-bit hashes."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema)
     return units.mapInArrow(_shingled_of(cfg.shingle_size, units.columns.index("tokens")), f"{fields}, shingles array<bigint>")
 
