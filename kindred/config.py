@@ -24,6 +24,7 @@ class Config:
     bands: int = 16
     rows: int = 8
     similarity: float = 0.6
+    hash_family: str = "portable"  # or fnv: kindred.functions.family
     # scoring
     min_score: float = 0.15
     max_findings: int = 0
@@ -52,6 +53,8 @@ class Config:
     ignore_directive: str = "kindred-ignore"
     # output
     format: str = "text"
+    log_level: str = "info"
+    log_format: str = "text"
 
     @property
     def level_number(self) -> int:
@@ -71,6 +74,8 @@ class Config:
             out.append("weights must not be negative and add up to 1")
         if self.level not in LEVELS:
             out.append(f"level must be one of {', '.join(LEVELS)}")
+        if self.hash_family not in ("portable", "fnv"):
+            out.append("hash_family must be portable or fnv")
         if self.format not in ("text", "json"):
             out.append("format must be text or json")
         return sorted(out)
@@ -106,14 +111,16 @@ def load(path: str | None = None) -> Config:
     """Defaults with the settings of a file, the one discovered if none is named; without a file, the defaults.
 
     Lines are `key: value`, `section:` with indented settings below, or `- item` of a list. A setting goes by its last
-    key, so sections only group them. A line that is none of these, and an unknown key, are errors.
+    key, so sections only group them, but for level and format of the section logging. A line that is none of these, and
+    an unknown key, are errors.
     """
     path = path or discover()
     if path is None or not os.path.exists(path):
         return Config()
-    values, open_key = {}, None
+    values, open_key, section = {}, None, None
     with open(path, encoding="utf-8") as f:
         for n, line in enumerate(f, 1):
+            inner = line[:1].isspace()
             line = re.sub(r"(^|\s)#.*", "", line).strip()
             if not line or line == "---":
                 continue
@@ -123,6 +130,9 @@ def load(path: str | None = None) -> Config:
             key, sep, value = (x.strip() for x in line.partition(":"))
             if not sep:
                 raise ValueError(f"{path}:{n}: not a setting")
+            section = section if inner else key
+            if inner and section == "logging" and key in ("level", "format"):
+                key = f"log_{key}"
             open_key = None if value else key
             if value.startswith("["):
                 values[key] = [x.strip().strip("'\"") for x in value.strip("[]").split(",") if x.strip()]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.config import Config
+from kindred.functions import family
 from kindred.functions import text as T
 from kindred.operators.components import connected_components
 from kindred.plans.storage import Scratch
@@ -54,19 +55,25 @@ def unmatched(units: DataFrame, members: DataFrame) -> DataFrame:
     return units.join(members, "unit_idx", "left_anti")
 
 
-def _shingled_of(n: int, at: int):
-    """T.shingles() in Arrow batches. Windows of one document share most of their runs, so each run is hashed once a batch."""
+def _portable(tokens: list[str], kinds: list[int] | None, n: int, known: dict) -> list[int]:
+    out = []
+    for x in dict.fromkeys(" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1)):
+        if (h := known.get(x)) is None:
+            h = known[x] = int.from_bytes(md5(x.encode()).digest()[:8], "big") >> 4
+        out.append(h)
+    return out
+
+
+def _shingled_of(n: int, at: int, kinds_at: int | None, hashes):
+    """Shingles in Arrow batches. Windows of one document share most of their runs, so each run is hashed once a batch."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, len(batch), 1024):
                 part, known, flat, ends = batch.slice(lo, 1024), {}, [], [0]
-                for tokens in part.column(at).to_pylist():
-                    runs = dict.fromkeys(" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1))
-                    for x in runs:
-                        if (h := known.get(x)) is None:
-                            h = known[x] = int.from_bytes(md5(x.encode()).digest()[:8], "big") >> 4
-                        flat.append(h)
+                kinds = [None] * len(part) if kinds_at is None else part.column(kinds_at).to_pylist()
+                for tokens, of in zip(part.column(at).to_pylist(), kinds, strict=True):
+                    flat += hashes(tokens, of, n, known)
                     ends.append(len(flat))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
                 has = np.diff(ends) > 0
@@ -76,9 +83,12 @@ def _shingled_of(n: int, at: int):
 
 
 def with_shingles(units: DataFrame, cfg: Config) -> DataFrame:
-    """units that have shingles, with their distinct 60-bit hashes."""
+    """units that have shingles, with their distinct hashes: 60 bits that SQL can check, or those of kindred.functions.family,
+    which take each token's kind from the column kinds, if there is one."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema)
-    return units.mapInArrow(_shingled_of(cfg.shingle_size, units.columns.index("tokens")), f"{fields}, shingles array<bigint>")
+    names, hashes = units.columns, family.shingle_hashes if cfg.hash_family == "fnv" else _portable
+    run = _shingled_of(cfg.shingle_size, names.index("tokens"), names.index("kinds") if "kinds" in names else None, hashes)
+    return units.mapInArrow(run, f"{fields}, shingles array<bigint>")
 
 
 def _signed_of(k: int, at: int):
@@ -105,8 +115,28 @@ def signatures(shingled: DataFrame, k: int) -> DataFrame:
     return shingled.mapInArrow(_signed_of(k, shingled.columns.index("shingles")), f"{fields}, sig array<bigint>")
 
 
+def _bucketed_of(cfg: Config, at: int):
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                lists = part.column(at)
+                bounds = lists.offsets.to_numpy()
+                sig = family.minima(lists.values.to_numpy()[bounds[0] : bounds[-1]], bounds - bounds[0], cfg.hashes)
+                flat = family.band_hashes(sig, cfg.bands, cfg.rows)
+                out = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * cfg.bands, flat.ravel())
+                yield pa.RecordBatch.from_arrays([*part.columns, out], [*batch.schema.names, "buckets"])
+
+    return run
+
+
 def bands(shingled: DataFrame, cfg: Config) -> DataFrame:
     """(unit_idx, file, func_name, start_line, end_line, n_shingles, band, bucket); a bucket is a digest of its band's minima."""
+    if cfg.hash_family == "fnv":
+        slim = shingled.select("unit_idx", "file", "func_name", "start_line", "end_line", "shingles")
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema)
+        found = slim.mapInArrow(_bucketed_of(cfg, slim.columns.index("shingles")), f"{fields}, buckets array<bigint>")
+        return found.select("unit_idx", "file", "func_name", "start_line", "end_line", F.size("shingles").alias("n_shingles"), F.posexplode("buckets").alias("band", "bucket"))
     signed = signatures(shingled.select("unit_idx", "file", "func_name", "start_line", "end_line", "shingles"), cfg.hashes)
     each = F.transform(F.sequence(F.lit(0), F.lit(cfg.bands - 1)), lambda b: F.struct(b.alias("band"), F.unhex(F.md5(F.array_join(F.slice("sig", b * cfg.rows + 1, cfg.rows), ","))).alias("bucket")))
     return signed.select("unit_idx", "file", "func_name", "start_line", "end_line", F.size("shingles").alias("n_shingles"), F.explode(each).alias("x")).select("*", "x.band", "x.bucket").drop("x")
