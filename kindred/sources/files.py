@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from itertools import chain
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from kindred.config import Config
 from kindred.functions.text import base_name
 
+log = logging.getLogger("kindred")
+
 # Fixed values.
 EXTENSIONS = {
     ".go": "go", ".js": "javascript", ".jsx": "javascript", ".ts": "javascript", ".tsx": "javascript", ".mjs": "javascript", ".mts": "javascript",
@@ -101,13 +104,18 @@ def region_text(content: Column, start: int, end: int) -> Column:
     return F.array_join(F.slice(F.split(content, "\n"), first, max(0, end - first + 1)), "\n")
 
 
-def linked(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
-    """Paths under a local root of symlinked files and of symlinked directories; other stores have none."""
+def _qualified(spark: SparkSession, root: str):
+    """The root as paths of its files begin, or None if it doesn't exist."""
     at = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.getUri().getScheme() != "file":
+    return fs.makeQualified(at) if fs.exists(at) else None
+
+
+def linked(top) -> tuple[list[str], list[str]]:
+    """Paths under a local root of symlinked files and of symlinked directories; other stores have none."""
+    if top.toUri().getScheme() != "file":
         return [], []
-    top = fs.makeQualified(at).toUri().getPath()
+    top = top.toUri().getPath()
     files, dirs = [], []
     for folder, subfolders, names in os.walk(top):
         files += [p for n in names if os.path.islink(p := os.path.join(folder, n))]
@@ -119,21 +127,26 @@ def read_files(spark: SparkSession, roots: list[str], cfg: Config) -> DataFrame:
     """(root, file, language, content, content_hash, size, is_test, is_generated) of the source files under roots.
 
     Names and sizes are tested before contents are read: binaryFile takes the filter on length down to the listing.
-    Symlinked files are skipped unless follow_symlinks; files below symlinked directories always are.
+    Symlinked files are skipped unless follow_symlinks; files below symlinked directories always are. A root that doesn't
+    exist has no files; the log says so.
     """
-    out = None
+    out = spark.createDataFrame([], "root string, path string, file string, content binary, length long, language string")
     for root in roots:
+        top = _qualified(spark, root)
+        if top is None:
+            log.warning("no such root: %s", root)
+            continue
         raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= cfg.max_file_size)
-        top = root.split("://", 1)[-1].rstrip("/")
-        path = F.regexp_replace("path", r"^[a-z]+:/+", "/")
-        rows = raw.select(F.lit(root).alias("root"), path.alias("path"), F.expr(f"substring(regexp_replace(path, '^[a-z]+:/+', '/'), {len(top) + 2})").alias("file"), "content", "length")
+        path = F.regexp_replace("path", r"^[a-z][a-z0-9+.-]*:/+", "/")
+        file = F.substring("path", len(top.toString().rstrip("/")) + 2, 1 << 30)
+        rows = raw.select(F.lit(root).alias("root"), path.alias("path"), file.alias("file"), "content", "length")
         rows = rows.withColumn("language", language_of(F.col("file"))).where(F.col("language").isNotNull() & ~is_pruned(F.col("file"), cfg) & ~matches_any(F.col("file"), list(cfg.exclude)))
-        files, dirs = linked(spark, root)
+        files, dirs = linked(top)
         if files and not cfg.follow_symlinks:
             rows = rows.where(~F.col("path").isin(files))
         for d in dirs:
             rows = rows.where(~F.startswith(F.col("path"), F.lit(d + "/")))
-        out = rows if out is None else out.unionByName(rows)
+        out = out.unionByName(rows)
     text = F.decode("content", "UTF-8")
     out = out.withColumns({"content_hash": F.sha2("content", 256), "text": text, "is_test": is_test(F.col("path"), F.col("language"))})
     out = out.withColumn("is_generated", F.when(F.col("language") == "go", is_generated_go(F.col("text"))).otherwise(is_generated(F.col("text")))).where(~is_minified(F.col("text")))
