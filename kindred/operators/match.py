@@ -86,8 +86,9 @@ def with_shingles(units: DataFrame, cfg: Config) -> DataFrame:
     """units that have shingles, with their distinct hashes: 60 bits that SQL can check, or those of kindred.functions.family,
     which take each token's kind from the column kinds, if there is one."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema)
-    names, hashes = units.columns, family.shingle_hashes if cfg.hash_family == "fnv" else _portable
-    run = _shingled_of(cfg.shingle_size, names.index("tokens"), names.index("kinds") if "kinds" in names else None, hashes)
+    names, exact = units.columns, cfg.hash_family == "fnv"
+    kinds_at = names.index("kinds") if exact and "kinds" in names else None
+    run = _shingled_of(cfg.shingle_size, names.index("tokens"), kinds_at, family.shingle_hashes if exact else _portable)
     return units.mapInArrow(run, f"{fields}, shingles array<bigint>")
 
 

@@ -7,8 +7,8 @@ from its text alone, so they are made in Arrow batches on the executors, with on
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from kindred.config import Config
 from kindred.functions import text as T
+from kindred.functions.family import NAME
 from kindred.operators.units import numbered
 from kindred.sources.files import EXTENSIONS
 from kindred.sources.golang import go_units
+from kindred.sources.kinds import INT, STRING, go_kinds, marks
 
 # Words of each language, names that are never renamed, and what ends a statement.
 JS_KEYWORDS = """async await break case catch class const continue debugger default delete do else export extends false
@@ -92,6 +94,7 @@ class Language:
     marks: frozenset  # tokens that count as statements
     tokens_each: int  # to a statement, where no such token is
     units: Callable[[str, Config], Iterator[tuple]] | None = None  # a reader of its own, in place of all the above
+    kinds: Mapping[str, int] = field(default_factory=dict)  # numbers of marks; any other mark counts as a name
 
 
 def _pattern(comment: str, string: str, word: str, marks: str, number: str = _NUMBER, symbol: str = r"(?!)") -> re.Pattern:
@@ -231,26 +234,26 @@ def register(language: Language, extensions: Iterable[str] = ()) -> None:
 register(
     Language(
         "javascript", _pattern(_C_COMMENTS, _QUOTED + r"|`(?:\\.|[^`\\])*`", r"[A-Za-z_$][\w$]*", r"===|!==|\.\.\.|>>>|\*\*=|=>|\?\?|\?\.|\*\*|" + _C_OPERATORS, r"[0-9][0-9a-fA-FxXn_.]*"),
-        _set(JS_KEYWORDS), _set(JS_KNOWN), _braced(_script_opening), frozenset(";{}"), frozenset(";}"), 5,
+        _set(JS_KEYWORDS), _set(JS_KNOWN), _braced(_script_opening), frozenset(";{}"), frozenset(";}"), 5, kinds=marks(),
     )
 )
 register(
     Language(
         "ruby", _pattern(r"#[^\n]*|^=begin.*?(?:^=end[^\n]*|\Z)", _QUOTED + r"|`[^`]*`|<<[~-]?(?P<here>[A-Z_]+)[^\n]*\n.*?^\s*(?P=here)$", r"@{0,2}[A-Za-z_]\w*[?!]?", r"\*\*|=>|==|!=|<=|>=|&&|\|\||<<|>>|\.\.|[-+*/%|&]=|::|=~", r"[0-9][0-9_.]*(?<!\.)", r":[A-Za-z_]\w*[?!]?"),
-        _set(RUBY_KEYWORDS), _set(RUBY_KNOWN), _ruby_bodies, frozenset({"end", "\n"}), _set(RUBY_STATEMENT_WORDS), 4,
+        _set(RUBY_KEYWORDS), _set(RUBY_KNOWN), _ruby_bodies, frozenset({"end", "\n"}), _set(RUBY_STATEMENT_WORDS), 4, kinds=marks("| &"),
     )
 )
 register(
     Language(
         "objc", _pattern(_C_COMMENTS + r"|#[^\n]*", '@?"(?:\\\\.|[^"\\\\])*"|\'(?:\\\\.|[^\'\\\\])*\'', r"@?[A-Za-z_]\w*", _C_OPERATORS),
         _set(OBJC_KEYWORDS) | {f"@{w}" for w in "interface implementation end property synthesize dynamic protocol class selector try catch finally throw autoreleasepool import optional required".split()},
-        _set(OBJC_KNOWN), _braced(_objc_opening), frozenset(";}"), frozenset(";}"), 5,
+        _set(OBJC_KNOWN), _braced(_objc_opening), frozenset(";}"), frozenset(";}"), 5, kinds=marks("& | ^"),
     )
 )
 register(
     Language(
         "csharp", _pattern(_C_COMMENTS + r"|^#[^\n]*", r'"""(?:.*?)"""|[$@]*@[$@]*"(?:""|[^"])*"|\$?"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'', r"@?[A-Za-z_]\w*", r"\?\?=|\?\?|\?\.|=>|::|" + _C_OPERATORS, r"[0-9][0-9a-fA-FxXbB_.]*[uUlLmMdD]*"),
-        _set(CSHARP_KEYWORDS), _set(CSHARP_KNOWN), _braced(_sharp_opening), frozenset(";}"), frozenset(";}"), 5,
+        _set(CSHARP_KEYWORDS), _set(CSHARP_KNOWN), _braced(_sharp_opening), frozenset(";}"), frozenset(";}"), 5, kinds=marks("& | ^") | {"~": marks("^")["^"]},
     )
 )
 register(Language("go", re.compile(""), frozenset(), frozenset(), lambda tokens: iter(()), frozenset(), frozenset(), 1, go_units))
@@ -271,44 +274,54 @@ def normalized(tokens: list[Token], language: Language, level: int) -> list[str]
     return out
 
 
-def statements_of(norms: list[str], language: Language) -> list[list[str]]:
-    """Runs that end with a delimiter; a delimiter alone is none, and what is left at the end is one."""
-    out, now = [], []
-    for t in norms:
-        now.append(t)
+def kinds_of(tokens: list[Token], language: Language) -> list[int]:
+    """The number of each token's kind: strings and symbols are one kind, and words and keywords are names."""
+    fixed = {"string": STRING, "symbol": STRING, "number": INT}
+    return [fixed[t.kind] if t.kind in fixed else language.kinds.get(t.text, NAME) if t.kind == "mark" else NAME for t in tokens]
+
+
+def statement_spans(norms: list[str], language: Language) -> list[tuple[int, int]]:
+    """Where runs that end with a delimiter begin and end; a delimiter alone is none, and what is left at the end is one."""
+    out, first = [], 0
+    for i, t in enumerate(norms, 1):
         if t in language.delimiters:
-            out += [now] * (len(now) > 1)
-            now = []
-    return out + [now] * bool(now)
+            out += [(first, i)] * (i - first > 1)
+            first = i
+    return out + [(first, len(norms))] * (first < len(norms))
+
+
+def statements_of(norms: list[str], language: Language) -> list[list[str]]:
+    return [norms[a:b] for a, b in statement_spans(norms, language)]
 
 
 def units_of(text: str, language: Language, cfg: Config) -> Iterator[tuple]:
-    """(func_name, receiver, kind, start_line, end_line, stmt_count, tokens) of the functions and windows of a text.
+    """(func_name, receiver, kind, start_line, end_line, stmt_count, tokens, kinds) of the functions and windows of a text.
 
     A window's lines are counted from its function's first by statements, not by lines.
     """
     if language.units:
-        yield from language.units(text, cfg)
+        for u in language.units(text, cfg):
+            yield *u, go_kinds(u[-1])
         return
     tokens, lines = lex(text, language), text.split("\n")
     for b in language.bodies(tokens):
         if any(cfg.ignore_directive in x for x in lines[max(0, b.start_line - 3) : b.start_line]):
             continue
-        norms = normalized(tokens[b.first : b.after], language, cfg.level_number)
+        norms, kinds = normalized(tokens[b.first : b.after], language, cfg.level_number), kinds_of(tokens[b.first : b.after], language)
         n = sum(t in language.marks for t in norms) or len(norms) // language.tokens_each
         if n < cfg.min_statements or b.end_line - b.start_line + 1 < cfg.min_lines:
             continue
-        yield b.name, b.receiver, "function", b.start_line, b.end_line, n, norms
+        yield b.name, b.receiver, "function", b.start_line, b.end_line, n, norms, kinds
         if n >= cfg.window_min_function:
-            parts, w = statements_of(norms, language), cfg.window_size
+            parts, w = statement_spans(norms, language), cfg.window_size
             for i in range(len(parts) - w + 1):
-                flat = [t for p in parts[i : i + w] for t in p]
-                if len(flat) >= cfg.min_window_tokens:
-                    yield b.name, b.receiver, "window", b.start_line + i, b.start_line + i + w, w, flat
+                at = [j for lo, hi in parts[i : i + w] for j in range(lo, hi)]
+                if len(at) >= cfg.min_window_tokens:
+                    yield b.name, b.receiver, "window", b.start_line + i, b.start_line + i + w, w, [norms[j] for j in at], [kinds[j] for j in at]
 
 
-_SCHEMA = "number long, file string, ordinal int, func_name string, receiver string, kind string, start_line int, end_line int, stmt_count int, tokens array<string>"
-_ARROW = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+_SCHEMA = "number long, file string, ordinal int, func_name string, receiver string, kind string, start_line int, end_line int, stmt_count int, tokens array<string>, kinds array<int>"
+_ARROW = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())]
 
 
 def _units_in(cfg: Config):
@@ -336,5 +349,5 @@ def code_units(files: DataFrame, cfg: Config) -> DataFrame:
     rows = files.join(numbers, ["root", "file"]).select("number", "file", "language", "text").mapInArrow(_units_in(cfg), _SCHEMA)
     return rows.select(
         numbered(F.col("number"), F.col("ordinal")).alias("unit_idx"), "file", T.directory(F.col("file")).alias("dir"),
-        "func_name", "receiver", "kind", "start_line", "end_line", "stmt_count", "tokens", F.size("tokens").alias("n_tokens"), T.token_hash(F.col("tokens")).alias("token_hash"),
+        "func_name", "receiver", "kind", "start_line", "end_line", "stmt_count", "tokens", "kinds", F.size("tokens").alias("n_tokens"), T.token_hash(F.col("tokens")).alias("token_hash"),
     )

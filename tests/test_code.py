@@ -1,7 +1,8 @@
 from kindred.config import Config
 from kindred.plans.engine import analyze
-from kindred.sources.code import LANGUAGES, code_units, lex, normalized, statements_of, units_of
+from kindred.sources.code import LANGUAGES, code_units, kinds_of, lex, normalized, statements_of, units_of
 from kindred.sources.files import read_files
+from kindred.sources.kinds import go_kinds
 
 SCRIPT = """
 // a user
@@ -112,3 +113,31 @@ def test_symlinks_are_skipped_unless_followed(spark, tmp_path):
     names = lambda cfg: sorted(r.file for r in read_files(spark, [str(root)], cfg).select("file").collect())
     assert names(Config()) == ["a.ts"] and names(Config(follow_symlinks=True)) == ["a.ts", "link.ts"]
     assert names(Config()) == sorted(r.file for r in read_files(spark, [f"file://{root}"], Config()).select("file").collect())
+
+
+def test_kinds_of_tokens():
+    # numbers of go/token: IDENT 4, INT 5, STRING 9, OR 18, XOR 19, AND 17, ADD 12, ASSIGN 42, LPAREN 49, SEMICOLON 57, COLON 58
+    of = lambda text, lang: kinds_of(lex(text, LANGUAGES[lang]), LANGUAGES[lang])
+    assert of("x = f(1) + 'a'; y | z & w => 2", "javascript") == [4, 42, 4, 49, 5, 54, 12, 9, 57, 4, 4, 4, 4, 4, 4, 5]
+    assert of("x = :s | b & c", "ruby") == [4, 42, 9, 18, 4, 17, 4]
+    assert of('a ^ b ~ @"s"', "objc") == [4, 19, 4, 4, 9]
+    assert of("a ^ ~b ? c : 1u;", "csharp") == [4, 19, 19, 4, 4, 4, 58, 5, 57]
+
+
+def test_kinds_of_go_tokens():
+    # FUNC 71, RETURN 80, TYPE 84, DEFINE 47, ARROW 36, ELLIPSIS 48, PERIOD 53, FLOAT 6, IMAG 7, CHAR 8, VAR 85
+    toks = ["func", "$FUNC", "(", ")", "{", "$V0", ":=", "<-", "$P0", ";", "return", "$INT", "}"]
+    assert go_kinds(toks) == [71, 4, 49, 54, 51, 4, 47, 36, 4, 57, 80, 5, 56]
+    assert go_kinds(["type", ".", "(", "type", ")", "map", "chan", "interface{}", "var", "..."]) == [84, 53, 49, 4, 54, 4, 4, 4, 85, 48]
+    assert go_kinds(["0x1e", "1e3", "1.5", ".5", "12", "2i", '"s"', "`s`", "'c'", "$STR", "$RUNE", "$FLOAT"]) == [5, 6, 6, 6, 5, 7, 9, 9, 8, 9, 8, 6]
+
+
+def test_units_hold_a_kind_for_each_token(spark, tmp_path):
+    (tmp_path / "a.ts").write_text(SCRIPT.format(N="User", n="user"))
+    (tmp_path / "b.go").write_text("package p\n\nfunc f(a int) int {\n\tb := a + 1\n\tif b > 2 {\n\t\treturn b\n\t}\n\treturn a\n}\n")
+    cfg = Config(hash_family="fnv", window_min_function=3, window_size=2)
+    rows = code_units(read_files(spark, [str(tmp_path)], cfg), cfg).collect()
+    assert {r.file for r in rows} == {"a.ts", "b.go"} and all(len(r.tokens) == len(r.kinds) == r.n_tokens for r in rows)
+    assert {"function", "window"} == {r.kind for r in rows}
+    for r in rows:
+        assert all(k == 49 for t, k in zip(r.tokens, r.kinds, strict=True) if t == "(")
