@@ -28,6 +28,12 @@ def token_hash(toks: Column) -> Column:
     return F.sha2(F.array_join(toks, " "), 256)
 
 
+def rendered(toks: Column) -> Column:
+    """Tokens for people to read: a space between two, but none after { ( . : and none before } ) , ; . :"""
+    close = F.transform(toks, lambda t, i: (i == 0) | t.isin(*"}),;.:") | F.coalesce(F.get(toks, i - 1).isin(*"{(.:"), F.lit(False)))
+    return F.array_join(F.zip_with(toks, close, lambda t, c: F.when(c, t).otherwise(F.concat(F.lit(" "), t))), "")
+
+
 def byte_token_hash(toks: Column) -> Column:
     """SHA-256 over each token's kind (four bytes, highest first), its text and a zero byte; toks: array<struct<kind, norm>>."""
     raw = F.transform(toks, lambda t: F.concat(F.lpad(F.hex(t["kind"]), 8, "0"), F.hex(F.encode(t["norm"], "UTF-8")), F.lit("00")))

@@ -33,7 +33,7 @@ class Session:
     def normal_form(self, finding: str, most: int = 200) -> DataFrame:
         """The normalized form of the finding's first unit, cut to `most` characters; 0: whole."""
         first = self.explain(finding).select(F.array_min(F.transform("regions", lambda r: r["unit_idx"])).alias("unit_idx"))
-        form = first.join(self.result.units, "unit_idx").select(F.array_join("tokens", " ").alias("form"))
+        form = first.join(self.result.units, "unit_idx").select(T.rendered(F.col("tokens")).alias("form"))
         return form.select(F.substring("form", 1, most).alias("form")) if most else form
 
     def compare(self, finding: str) -> DataFrame:

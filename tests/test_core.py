@@ -81,6 +81,16 @@ def test_shingles_and_jaccard(spark):
     assert [(r.a, r.b, round(r.j, 4), round(r.k, 4)) for r in rows] == [(0, 1, 0.0, 0.0), (2, 2, 0.3333, 0.3333)]
 
 
+def test_tokens_as_people_read_them(spark):
+    cases = [
+        (["func", "$FUNC", "(", "$P0", "int", ",", "$P1", "...", "T", ")", "{", "return", "$P0", ".", "x", "(", ")", ";", "}"], "func $FUNC ($P0 int, $P1 ... T) {return $P0.x (); }".replace("; }", ";}")),
+        (["a", ":", "b", "[", "c", "]", "{", "{", "}", "}"], "a:b [ c ] {{}}"),
+        ([], ""),
+    ]
+    rows = spark.createDataFrame([(t,) for t, _ in cases], "t array<string>").select(T.rendered(F.col("t")).alias("r")).collect()
+    assert [r.r for r in rows] == [want for _, want in cases]
+
+
 def _corpus(spark):
     rnd = random.Random(1)
     text = lambda n: "\n".join(" ".join(rnd.choice("alpha beta gamma delta eps zeta eta theta".split()) + str(rnd.randrange(50)) for _ in range(9)) for _ in range(n))
