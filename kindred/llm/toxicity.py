@@ -114,6 +114,16 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def slopes(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """The direction to leave, for each positive's and each unlabelled text's g: the gradient of the whole risk, or, where
+    the risk of calling clean text toxic is below zero, the negative gradient of that part alone, which steps back."""
+    sp, su = _sigmoid(gp), _sigmoid(gu)
+    # the loss of clean text called toxic is log(1 + exp(g)), and its slope is sigmoid(g)
+    if np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean() >= 0:
+        return prior * (sp - 1 - sp) / len(gp), su / len(gu)
+    return prior * sp / len(gp), -su / len(gu)
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 12, batch: int = 512, rate: float = 0.05, shrink: float = 3e-4, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias of the classifier that minimizes the non-negative risk, by Adam with shrinkage of small weights."""
     rng = np.random.default_rng(seed)
@@ -131,13 +141,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             ru, cu = u.part(at_u)
             gp = w[-1] + np.bincount(rp, weights=w[cp], minlength=len(at_p))
             gu = w[-1] + np.bincount(ru, weights=w[cu], minlength=len(at_u))
-            sp, su = _sigmoid(gp), _sigmoid(gu)
-            # losses of clean texts called toxic: log(1 + exp(g)); the slope is sigmoid(g)
-            clean = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            if clean >= 0:
-                dp, du = prior * (sp - 1 - sp) / len(at_p), su / len(at_u)
-            else:
-                dp, du = prior * sp / len(at_p), -su / len(at_u)  # step back from the overfit part alone
+            dp, du = slopes(gp, gu, prior)
             grad = np.bincount(cp, weights=dp[rp], minlength=FEATURES + 1) + np.bincount(cu, weights=du[ru], minlength=FEATURES + 1)
             grad[-1] = dp.sum() + du.sum()
             t += 1

@@ -95,6 +95,28 @@ def test_training_lowers_the_non_negative_risk():
         assert np.isfinite(w).all() and toxic + max(0, clean) <= start[0] + max(0, start[1]) + 1e-9
 
 
+@pytest.mark.parametrize("shift", [1.0, -6.0])
+def test_slopes_are_differences_of_the_risk(shift):
+    """On both sides of the clamp, each slope against a central difference of the plain formulas."""
+    rng = np.random.default_rng(5)
+    gp, gu, prior, step = rng.normal(size=7) + 1, rng.normal(size=9) + shift, 0.4, 1e-5
+
+    def clean(a, b):
+        return sum(math.log1p(math.exp(x)) for x in b) / len(b) - prior * sum(math.log1p(math.exp(x)) for x in a) / len(a)
+
+    def left(a, b):
+        toxic = prior * sum(math.log1p(math.exp(-x)) for x in a) / len(a)
+        return toxic + clean(a, b) if shift > 0 else -clean(a, b)
+
+    assert (clean(gp, gu) >= 0) == (shift > 0)
+    for which, got in enumerate(toxicity.slopes(gp, gu, prior)):
+        for i, slope in enumerate(got):
+            more, less = [gp.copy(), gu.copy()], [gp.copy(), gu.copy()]
+            more[which][i] += step
+            less[which][i] -= step
+            assert abs((left(*more) - left(*less)) / (2 * step) - slope) < 1e-7
+
+
 def test_discriminant_equals_dense_formulas():
     rng = np.random.default_rng(1)
     y = rng.integers(0, 2, 300)
