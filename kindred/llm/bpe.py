@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.memory import WordMemory
+from kindred.llm.memory import WordMemory, freed
 from kindred.llm.pretokens import PreTokens, _rows, gather
 from kindred.llm.samples import free_names
 from kindred.llm.transducer import Lexicon, compile_words
@@ -223,6 +223,9 @@ class Coder:
         return out.decode("utf-8", "replace").encode()
 
 
+_coders: dict[tuple, Coder] = {}
+
+
 def _spans(column: pa.Array, most: int = SLICE):
     """Slices of about `most` bytes: first row, bytes and row bounds."""
     data, at = buffers(column)
@@ -234,7 +237,8 @@ def _spans(column: pa.Array, most: int = SLICE):
 
 
 def _counted(batches):
-    for batch in batches:
+    _coders.clear()  # a worker that has encoded for an earlier query holds that one's words
+    for batch in freed(batches):
         held: dict[str, int] = {}
         for _, data, bounds in _spans(batch.column(0)):
             t = PreTokens(*_rows(data, bounds), True)
@@ -284,9 +288,6 @@ def compile_lexicon(words: list[str], path: str) -> bytes:
     return compile_words(raw, [x.tolist() for x in m.merge_many(data, bounds[:-1], bounds[1:])] if raw else [])
 
 
-_coders: dict[tuple, Coder] = {}
-
-
 def _coder(path: str, lexicon) -> Coder:
     key = path, lexicon.id if hasattr(lexicon, "id") else id(lexicon)
     if key not in _coders:
@@ -297,7 +298,7 @@ def _coder(path: str, lexicon) -> Coder:
 
 def _encoded_of(path: str, lexicon, text_at: int, digest: bool):
     def run(batches):
-        for batch in batches:
+        for batch in freed(batches):
             coder = _coder(path, lexicon)
             n, ids_out, text_out = [], [], []
             for _, data, bounds in _spans(batch.column(text_at)):
