@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.memory import WordMemory, freed
+from kindred.functions.words import buffers, freed
+from kindred.llm.memory import WordMemory
 from kindred.llm.pretokens import PreTokens, _rows, gather
 from kindred.llm.samples import free_names
 from kindred.llm.transducer import Lexicon, compile_words
-from kindred.llm.words import buffers
 from kindred.plans.storage import Scratch
 
 LEXICON = 1 << 16

@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.functions.words import ALNUM, mix, poly, sliced
 from kindred.llm.samples import free_names
-from kindred.llm.words import ALNUM, mix, poly, sliced
 from kindred.plans.storage import Scratch
 
 WINDOW, ITEM_WORDS = 10, 200_000

@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.filters import MOST_ONCE, SCHEMA, bits_for, build, has, packed
-from kindred.llm.words import SPACED, longs, mix, poly, sliced
+from kindred.functions.filters import MOST_ONCE, SCHEMA, bits_for, build, has, packed
+from kindred.functions.words import SPACED, longs, mix, poly, sliced
 from kindred.operators.components import connected_components
 from kindred.plans.storage import Scratch
 

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
-import pyarrow as pa
 
 #: Words kept before all are forgotten, and new ones before they are merged among the others.
 MOST, RECENT = 1_000_000, 100_000
@@ -66,15 +63,3 @@ def _joined(a, b):
     keys = np.concatenate([a[0], b[0]])
     order = np.argsort(keys, kind="stable")
     return keys[order], np.concatenate([a[1], b[1]])[order]
-
-
-def freed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; before each and after the last, Arrow's pool gives what it holds unused back to the system.
-
-    A worker is used again for later tasks, also while the JVM needs the memory, and the pool would keep its peak.
-    """
-    for batch in batches:
-        pa.default_memory_pool().release_unused()
-        yield batch
-        del batch
-    pa.default_memory_pool().release_unused()

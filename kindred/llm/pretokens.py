@@ -17,7 +17,7 @@ from functools import cache
 import numpy as np
 from tokenizers import Regex, pre_tokenizers
 
-from kindred.llm.words import _BASE, _BASE_INV, _table, mix
+from kindred.functions.words import _BASE, _BASE_INV, _table, mix
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 _CODE = np.random.default_rng(77).integers(1, 2**63, 1 << 12, dtype=np.uint64)

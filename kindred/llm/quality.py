@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.functions.words import SPACED, buffers, sliced
 from kindred.llm.samples import free_names, at_most, held_out, known_labels, texts_of
-from kindred.llm.words import SPACED, buffers, sliced
 
 LABELLED = 20_000
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.5

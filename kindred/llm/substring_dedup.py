@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.filters import MOST_ONCE, SCHEMA, bits_for, build, has, packed
+from kindred.functions.filters import MOST_ONCE, SCHEMA, bits_for, build, has, packed
+from kindred.functions.words import SPACED, buffers, sliced
 from kindred.llm.samples import free_names
-from kindred.llm.words import SPACED, buffers, sliced
 
 #: Bits of a filter for each block.
 BITS_EACH = 16

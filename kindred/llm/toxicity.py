@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.functions.words import ALNUM, sliced
 from kindred.llm.samples import free_names, at_most, held_out, known_labels, texts_of
-from kindred.llm.words import ALNUM, sliced
 
 FEATURES = 1 << 20
 #: Bounds of the two samples.

@@ -14,6 +14,7 @@ from kindred.config import Config
 from kindred.functions import text as T
 from kindred.operators import match, score
 from kindred.operators.components import connected_components
+from kindred.operators.similar import similar_pairs
 from kindred.operators.units import prose_files, prose_units, statements
 from kindred.plans.engine import ScanResult, analyze
 from kindred.plans.session import Session
@@ -300,13 +301,7 @@ o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM s a JOIN s b O
 SELECT a, b, inter, round(inter / (x.n + y.n - inter)::DOUBLE, 9) AS similarity FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE inter / (x.n + y.n - inter)::DOUBLE >= 0.6"""
 )
 def shingle_jaccard_pairs(spark, d):
-    toks = T.held(_docs(spark, d), "t", T.tokens(F.col("text"))).select("doc_id", "t")
-    s = T.held(toks, "sh", T.shingles(F.col("t"), 7)).select("doc_id", "sh")
-    n = s.select("doc_id", F.size("sh").alias("n"))
-    e = s.select("doc_id", F.explode("sh").alias("h"))
-    pairs = e.toDF("a", "h").join(e.toDF("b", "h"), "h").where("a < b").groupBy("a", "b").agg(F.count("*").alias("inter"))
-    sized = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").withColumn("sim", F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter")))
-    return sized.where("sim >= 0.6").select("a", "b", "inter", F.round("sim", 9).alias("similarity"))
+    return similar_pairs(_docs(spark, d), 7, 60, 100).withColumn("similarity", F.round("similarity", 9))
 
 
 @query(oracle.sql("comp", "SELECT node, component FROM comp"))
